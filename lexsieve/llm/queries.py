@@ -23,9 +23,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm.ngram_jaccard import near_duplicate_groups
+
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
