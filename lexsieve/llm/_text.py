@@ -203,3 +203,19 @@ def unplanes(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
         b = np.frombuffer(x.as_buffer(), dtype=np.uint8)
         out.append(np.ascontiguousarray(b.reshape(size, len(b) // size).T).reshape(-1).view(dtype))
     return np.concatenate(out) if out else np.zeros(0, dtype)
+
+
+def stems(texts: pa.Array, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, words by document) of all lowercase words and of their first bytes, as many as ``lengths`` say."""
+    data, off = raw(pc.utf8_lower(texts))
+    if len(data) == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
+    start, end = _spans(data, off, INSIDE["word"])
+    count = np.diff(np.searchsorted(start, off))
+    doc = np.repeat(np.arange(len(count)), count)
+    hashes, docs = [prefix_hashes(data, start, end)], [doc]
+    for n in lengths:
+        long = end - start > n
+        hashes.append(prefix_hashes(data, start[long], start[long] + n))
+        docs.append(doc[long])
+    return np.concatenate(hashes), np.concatenate(docs), count

@@ -29,10 +29,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op2_toxicity": op2_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
