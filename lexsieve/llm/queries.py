@@ -36,11 +36,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm.sentencepiece_codec import encode
+
+    return encode(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
+    "op3_token_counts": op3_token_counts,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
