@@ -48,6 +48,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs)[0])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
+    "op5_quality_classifier": op5_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
