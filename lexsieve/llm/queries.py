@@ -55,6 +55,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs)[0])
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm import pii
+
+    return pii.redacted(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_pii": op6_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
