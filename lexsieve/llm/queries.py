@@ -61,6 +61,19 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm import url_filters
+
+    pages = _table(spark, sf_dir, "pages")
+    return url_filters.match(pages, url_filters.mine(url_filters.labelled_pages(pages, _table(spark, sf_dir, "labels"))))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexsieve.llm import ann
+
+    return ann.search(ann.build(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
@@ -70,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pii": op6_pii,
+    "op8_url_filters": op8_url_filters,
+    "op9_ann": op9_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}
