@@ -87,4 +87,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Windows of 50 words with their first other occurrence, and runs of those that move along with it.
+_OP1 = """
+with t as (select doc_id, list_filter(regexp_split_to_array(text, '[\\x00-\\x20]+'), lambda x: x <> '') as w from documents where doc_id is not null and text is not null),
+p as (select distinct doc_id, x.i as i, x.h as h from (select doc_id, unnest(list_transform(range(0, len(w) - 49), lambda i: {'i': i, 'h': md5(array_to_string(w[i + 1:i + 50], ' '))})) as x from t where len(w) >= 50)),
+o as (select *, count(*) over g as n, row_number() over (g order by doc_id, i) as k, first_value(doc_id) over f as d1, first_value(i) over f as i1, nth_value(doc_id, 2) over f as d2, nth_value(i, 2) over f as i2
+  from p window g as (partition by h), f as (partition by h order by doc_id, i rows between unbounded preceding and unbounded following)),
+r as (select doc_id, i, case when k = 1 then d2 else d1 end as rd, case when k = 1 then i2 else i1 end as ri from o where n > 1),
+s as (select *, i - row_number() over (partition by doc_id, rd, ri - i order by i) as run from r)
+select doc_id, cast(min(i) as int) as start_word, cast(count(*) + 49 as int) as n_words, rd as ref_doc_id, cast(min(ri) as int) as ref_start_word from s group by doc_id, rd, ri - i, run
+"""
+
+#: All pairs of documents by shared word trigrams, and the components of those of a Jaccard similarity of 0.6.
+_OP4 = """
+with recursive t as (select distinct doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') as w from documents where doc_id is not null and text is not null),
+g as (select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as gram from t where len(w) > 0),
+n as (select doc_id, count(*) as n from g group by doc_id),
+b as (select x.doc_id as a, y.doc_id as b, count(*) as shared from g x join g y on x.gram = y.gram and x.doc_id <> y.doc_id group by 1, 2),
+e as (select a, b from b join n x on x.doc_id = a join n y on y.doc_id = b where shared >= 0.6 * (x.n + y.n - shared) - 1e-9),
+c as (select a as doc_id, a as seen from (select distinct a from e) union select c.doc_id, e.b from c join e on e.a = c.seen),
+l as (select doc_id, min(seen) as group_id from c group by doc_id)
+select group_id, list(doc_id order by doc_id) as doc_ids, cast(count(*) as int) as n_docs from l group by group_id
+"""
+
+#: The other operators fit models, tokenise or walk graphs; the tests hold them against brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_ngram_jaccard_join": _OP4}
