@@ -32,7 +32,7 @@ EPOCHS = 6
 SPAN = "array<struct<start:int,end:int,type:string>>"
 
 _ATOM = re.compile(r"\w+|[^\w\s]|\s+")
-_CHUNK = re.compile(r"\S*[0-9@]\S*")
+_CHUNK, _MARK = re.compile(r"\S+"), re.compile("[0-9@]")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[ord(c) for c in "0123456789@"]] = True
 _CUE = re.compile(r"(token|key|secret|password|passwd|pwd|api|auth|card|visa|tel|phone|call|fax|mobile|ip|host|mail|ssn|iban|account)\W{0,4}$", re.I)
@@ -108,13 +108,17 @@ def features(span: str, left: str, right: str) -> list[str]:
     return out
 
 
+_BOUNDED = re.compile(r"[^\s@]+@[^\s@]+|(?=\D*\d)[\w-]{16,}|[A-Z]{2}\d{2}[A-Z0-9 ]{8,40}|(?=(?:\D*\d){7})[+(]*\d[\d\s().+/\-]*|\d+\.\d+\.\d+\.\d+")
+
+
 def _atoms(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _ATOM.finditer(text)]
 
 
 def _candidates(text: str, atoms: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """(first atom, atom after the last, span): what may be an entity. It starts with a word, "+" or "(", ends with a
-    word, and holds a digit or "@"."""
+    word, and is bounded: an address with "@", a run of 16 letters and digits or more, an IBAN's beginning, or digits
+    with signs and spaces, at least seven of them or four groups with dots."""
     for i, (a, _) in enumerate(atoms):
         c = text[a]
         if not (c.isalnum() or c in "+(_"):
@@ -125,7 +129,7 @@ def _candidates(text: str, atoms: list[tuple[int, int]]) -> Iterator[tuple[int,
             if not (d.isalnum() or d == "_"):
                 continue
             span = text[a:b]
-            if len(span) > 5 and ("@" in span or any(x.isdigit() for x in span)):
+            if _BOUNDED.fullmatch(span):
                 yield i, j, span
 
 
@@ -321,6 +325,8 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
     """Spans of neighbouring words with a digit or "@", one character at most between them."""
     begin = end = None
     for m in _CHUNK.finditer(text):
+        if not _MARK.search(text, m.start(), m.end()):
+            continue
         if begin is None:
             begin, end = m.span()
         elif m.start() - end <= 1 and m.end() - begin < 2000:
