@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +63,26 @@ def lengths_may_match(a: Column, b: Column, threshold: float) -> Column:
     return F.least(a, b) > (3 * j - 2) * F.greatest(a, b) if j > 0 else F.lit(True)
 
 
-def may_match(a: str, b: str, threshold: float, counts: dict[str, Counter] | None = None) -> bool:
-    """Whether the characters two strings share allow a similarity above the threshold."""
+def _counts(strings: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each distinct string has each character, in 64 buckets; each row's string)."""
+    which, names = pd.factorize(strings)
+    table = np.zeros((len(names), 64), np.uint8)
+    for k, name in enumerate(names):
+        codes = np.frombuffer(name.encode("utf-32-le"), np.uint32) % 64
+        table[k] = np.minimum(np.bincount(codes, minlength=64), 255)
+    return table, which
+
+
+def may_match(a: pd.Series, b: pd.Series, threshold: float) -> np.ndarray:
+    """Whether the characters that strings share allow a similarity above the threshold; never wrongly False."""
     j = least_jaro(threshold)
-    if j <= 0:
-        return True
-    ca, cb = (counts[a], counts[b]) if counts and a in counts and b in counts else (Counter(a), Counter(b))
-    m = sum((ca & cb).values())
-    return bool(m) and (m / len(a) + m / len(b) + 1) / 3 > j - 1e-12
+    if j <= 0 or not len(a):
+        return np.ones(len(a), bool)
+    (x, i), (y, k) = _counts(a), _counts(b)
+    shared = np.minimum(x[i], y[k]).sum(axis=1, dtype=np.int64)
+    la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
+    small = (la < 256) & (lb < 256)
+    return ~small | ((shared > 0) & ((shared / np.maximum(la, 1) + shared / np.maximum(lb, 1) + 1) / 3 > j - 1e-12))
 
 
 def register(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from lexsieve.functions.canonical import PIECE, SPACE, Flags, canonical_words, words
+from lexsieve.functions.canonical import SPACE, Flags, canonical_words, words
 from lexsieve.functions.similarity import jaro_winkler_of, least_jaro, may_match
 from lexsieve.sources.lexicon import Lexicon
 
@@ -87,8 +87,7 @@ class Moderator:
 
         def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                keep = [may_match(x, y, threshold) for x, y in zip(b["canon"], b["key"], strict=True)]
-                b = b[keep].copy()
+                b = b[may_match(b["canon"], b["key"], threshold)].copy()
                 b["score"] = [jaro_winkler_of(x, y) for x, y in zip(b["canon"], b["key"], strict=True)]
                 yield b[b["score"] > threshold]
 
@@ -108,17 +107,19 @@ class Moderator:
         if not mask:
             raise ValueError("the mask is empty")
         out, hits, extra = self._listed(df, text, threshold)
-        out = out.withColumn("__hit", hits).withColumn("__piece", F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)))
-        lead = F.when(F.col(text).rlike(f"^{SPACE}"), 1).otherwise(0)
-
-        def masked(piece: Column, i: Column) -> Column:
-            at = (i - lead).cast("int")
-            canon = F.get("__canon", (at / 2).cast("int"))
-            return F.when((at >= 0) & (at % 2 == 0) & F.array_contains("__hit", canon), F.repeat(F.lit(mask[0]), F.char_length(piece))).otherwise(piece)
-
-        out = out.withColumn("found", F.when(F.col(text).isNotNull(), F.size("__hit") > 0))
-        whole = F.array_join(F.transform("__piece", masked), "")
-        return out.withColumn("censored", F.when(F.col("found"), whole).otherwise(F.col(text))).drop("__hit", "__piece", *extra)
+        if "__hits" in extra:
+            found, is_hit = F.size(hits) > 0, lambda c: F.array_contains("__hits", c)
+        else:
+            keys = self._keys or []
+            is_hit = lambda c: c.isin(keys) if keys else F.lit(False)
+            found = F.exists("__canon", is_hit)
+        # zipped, not looked up by index: the optimizer would move a looked-up array's expression into the lambda
+        masked = F.zip_with(words(F.col(text)), "__canon", lambda w, c: F.when(is_hit(c), F.repeat(F.lit(mask[0]), F.char_length(w))).otherwise(w))
+        lead = F.regexp_extract(text, f"^{SPACE}*", 0)
+        after = F.regexp_extract_all(F.regexp_replace(text, f"^{SPACE}+", ""), F.lit(f"{SPACE}+"), F.lit(0))
+        whole = F.concat(lead, F.array_join(F.zip_with(masked, after, lambda w, s: F.concat(w, F.coalesce(s, F.lit("")))), ""))
+        out = out.withColumn("found", F.when(F.col(text).isNotNull(), found))
+        return out.withColumn("censored", F.when(F.col("found"), whole).otherwise(F.col(text))).drop(*extra)
 
     def status(self, df: DataFrame, text: str = "text", threshold: float | None = None) -> DataFrame:
         """``df`` with ``status``: BLOCKED or OK."""
