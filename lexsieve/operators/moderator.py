@@ -83,7 +83,7 @@ class Moderator:
             keys = keys.select("key", F.explode(near).alias("len"))
             pairs = canon.withColumn("len", F.char_length("canon")).join(F.broadcast(keys) if self._inline() is not None else keys, "len").select("canon", "key")
         else:
-            pairs = canon.crossJoin(F.broadcast(keys))
+            pairs = canon.crossJoin(F.broadcast(keys) if self._inline() is not None else keys)
 
         def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
