@@ -13,9 +13,12 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode,
+    as in tests; on a cluster an error, since a machine's own folder is not shared."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lexsieve-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
