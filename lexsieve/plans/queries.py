@@ -16,6 +16,7 @@ from lexsieve.operators.moderator import Moderator, word_spans
 from lexsieve.plans import prepare as P
 from lexsieve.plans import score as S
 from lexsieve.sources.lexicon import Lexicon
+from lexsieve.sources.tables import spread
 from lexsieve.streaming.moderate import moderated
 
 #: A small lexicon of our own. Lists proper come from a folder; see Lexicon.from_dir.
@@ -39,7 +40,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
