@@ -23,11 +23,11 @@ from lexsieve.llm import _text as X
 from lexsieve.llm._spark import cut
 
 K = 10
-DEGREE = 24
-BEAM = 48
+DEGREE = 40
+BEAM = 96
 BLOCK = 256
 TREES = 2
-ROUNDS, STOP = 10, 0.002
+ROUNDS, STOP = 10, 0.004
 BROADCAST_BYTES = 256 << 20
 _STATE = "id long, vec binary, block int, nbr binary, dist binary, fresh binary"
 OUT = "vec_id long, rank int, neighbour_id long, distance double"
