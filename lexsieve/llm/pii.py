@@ -140,47 +140,59 @@ class Model:
         self.weights: dict[str, np.ndarray] = {}
         self.jump = np.zeros((OUTSIDE + 1, OUTSIDE + 1))
 
-    def segments(self, text: str, left: str, right: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str], np.ndarray]]]:
-        atoms = _atoms(text)
-        out = []
+    def scored(self, text: str, atoms: list[tuple[int, int]], left: str, right: str) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+        """(first atom, atom after the last, features, score of each type) of all candidates, by first atom."""
         for i, j, span in _candidates(text, atoms):
             a, b = atoms[i][0], atoms[j - 1][1]
-            f = features(span, (left + text[:a])[-16:], text[b : b + 1] or right)
+            f = features(span, (left[max(0, len(left) + a - 16) :] if a < 16 else "") + text[max(0, a - 16) : a], text[b : b + 1] or right)
             s = np.zeros(OUTSIDE)
             for name in f:
                 w = self.weights.get(name)
                 if w is not None:
                     s += w
-            out.append((i, j, f, s))
-        return atoms, out
+            yield i, j, f, s
+
+    def segments(self, text: str, left: str, right: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str], np.ndarray]]]:
+        atoms = _atoms(text)
+        return atoms, list(self.scored(text, atoms, left, right))
 
     def best(self, text: str, left: str = "", right: str = "") -> list[tuple[int, int, str]]:
-        """(start, end, type) of the entities of the best segmentation of a region."""
-        atoms, segments = self.segments(text, left, right)
-        n = len(atoms)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for i, j, _, s in segments:
-            if s.max() > -4:
-                ending[j].append((i, s))
-        score = np.full((n + 1, OUTSIDE + 1), -math.inf)
-        back: list[list] = [[None] * (OUTSIDE + 1) for _ in range(n + 1)]
+        """(start, end, type) of the entities of the best segmentation of a region.
+
+        Linear in the region's atoms: scores are kept for MAX_ATOMS atoms ahead, and of each atom and type only the
+        length of its segment and the type before it (two bytes).
+        """
+        atoms = _atoms(text)
+        n, ring = len(atoms), MAX_ATOMS + 1
+        score = np.full((ring, OUTSIDE + 1), -math.inf)
+        size, kind = np.zeros((n + 1, OUTSIDE + 1), np.int8), np.zeros((n + 1, OUTSIDE + 1), np.int8)
         score[0, OUTSIDE] = 0.0
-        for j in range(1, n + 1):
-            from_ = score[j - 1] + self.jump[:, OUTSIDE]
+        segments = self.scored(text, atoms, left, right)
+        ahead = next(segments, None)
+        for i in range(n):
+            here = score[i % ring].copy()
+            score[i % ring] = -math.inf  # the row of atom i + ring from now on
+            from_ = here + self.jump[:, OUTSIDE]
             k = int(from_.argmax())
-            score[j, OUTSIDE] = from_[k]
-            back[j][OUTSIDE] = (j - 1, k)
-            for i, s in ending[j]:
-                into = (score[i][:, None] + self.jump[:, :OUTSIDE])
-                k_all = into.argmax(axis=0)
-                value = into[k_all, np.arange(OUTSIDE)] + s
-                for t in np.flatnonzero(value > score[j, :OUTSIDE]):
-                    score[j, t] = value[t]
-                    back[j][t] = (i, int(k_all[t]))
+            score[(i + 1) % ring, OUTSIDE] = from_[k]
+            size[i + 1, OUTSIDE], kind[i + 1, OUTSIDE] = 1, k
+            into = None
+            while ahead is not None and ahead[0] == i:
+                _, j, _, s = ahead
+                if s.max() > -4:
+                    if into is None:
+                        into = here[:, None] + self.jump[:, :OUTSIDE]
+                        k_all = into.argmax(axis=0)
+                        into = into[k_all, np.arange(OUTSIDE)]
+                    value, row = into + s, score[j % ring]
+                    for t in np.flatnonzero(value > row[:OUTSIDE]):
+                        row[t] = value[t]
+                        size[j, t], kind[j, t] = j - i, k_all[t]
+                ahead = next(segments, None)
         out = []
-        j, t = n, int(score[n].argmax())
+        j, t = n, int(score[n % ring].argmax())
         while j > 0:
-            i, before = back[j][t]
+            i, before = j - int(size[j, t]), int(kind[j, t])
             if t != OUTSIDE:
                 out.append((atoms[i][0], atoms[j - 1][1], TYPES[t]))
             j, t = i, before
@@ -322,14 +334,14 @@ def train(n: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) -> Model:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of neighbouring words with a digit or "@", one character at most between them."""
+    """Spans of neighbouring words with a digit or "@", one character at most between them, however long."""
     begin = end = None
     for m in _CHUNK.finditer(text):
         if not _MARK.search(text, m.start(), m.end()):
             continue
         if begin is None:
             begin, end = m.span()
-        elif m.start() - end <= 1 and m.end() - begin < 2000:
+        elif m.start() - end <= 1:
             end = m.end()
         else:
             yield begin, end

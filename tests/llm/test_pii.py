@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 import pytest
 from lexsieve.llm import pii
@@ -71,3 +72,21 @@ def test_odd_rows(odd, nothing, model):
     digits = "1-" * 3000
     assert pii.redact(digits, pii.find(model, digits)) is not None
     assert all(t is None or isinstance(t, str) for t in itertools.chain(r.text for r in got))
+
+
+def test_long_lists_are_not_cut(model):
+    """Entities of several words in lists of over 2000 characters, against the segmentation of the whole list."""
+    r = random.Random(4)
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    make = {"CARD": lambda: " ".join(digits(4) for _ in range(4)), "PHONE": lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}"}
+    for kind, one in make.items():
+        for between in (";\n", "\n#{}: "):
+            text, want = "", []
+            for k in range(300):
+                text += between.format(k) if k else ""
+                entity = one()
+                want.append((len(text), len(text) + len(entity), kind))
+                text += entity
+            assert len(text) > 5000 and list(pii.regions(text)) == [(0, len(text))]
+            found = pii.find(model, text)
+            assert found == model.best(text) and {*want} <= {*found}
