@@ -79,3 +79,27 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_two_texts_under_one_id_and_null_ids(spark, words, tmp_path):
+    r = random.Random(8)
+    a, b, c, clean, item = (" ".join(r.choice(words) for _ in range(60)) for _ in range(5))
+    near = lambda t: " ".join([*t.split()[:20], "zzz", *t.split()[21:]])
+    leak = f"{clean[:50]} {item}"
+    rows = [(3, a), (7, near(a)), (7, near(b)), (9, b), (5, clean), (5, b), (6, clean + " tail"), (None, c), (None, c), (None, near(c)), (None, leak), (8, leak + " more"), (8, a[::-1]), (None, None), (None, "!"), (None, "!")]
+    docs = spark.createDataFrame([(*x, "y") for x in rows], "doc_id long, text string, gone string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda d: sorted(((x.doc_id, x.text) for x in d.collect()), key=str)
+    got = stages["near duplicates"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    one = [x for x in left(got) if x[1] in (c, near(c))]
+    assert len(one) == 1 and one[0][0] is None
+    # b has its copy under 5, a under 3; 7 loses both of its texts and 9 its only one
+    rest = [(3, a), (5, clean), (5, b), (None, leak), (8, a[::-1]), (None, None), (None, "!"), (None, "!")]
+    assert [x for x in left(got) if x not in one and x != (8, leak + " more")] == sorted(rest, key=str)
+    gone = [(None, leak), (8, leak + " more")]
+    assert left(stages["decontamination"](spark, docs, str(tmp_path))) == sorted((x for x in rows if x not in gone), key=str)
+    # an id that bridges two groups leaves one text of each
+    bridge = spark.createDataFrame([(3, a), (7, near(a)), (7, near(b)), (9, b)], "doc_id long, text string")
+    assert left(stages["near duplicates"](spark, bridge, str(tmp_path))) == sorted([(3, a), (7, near(b))], key=str)
