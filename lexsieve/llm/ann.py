@@ -4,13 +4,16 @@ The graph starts from exact neighbours inside random-projection blocks. Then, ro
 neighbours and some of the nodes it is a neighbour of are introduced to one another: rows of neighbour lists are
 joined with the vectors they name, block by block, so a vector travels once to each block that needs it; pairs nearer
 than the worst neighbour either has are sent back and merged. Rounds end when fewer than STOP of all list entries
-change. Queries walk the graph greedily, always expanding the nearest node of a beam not yet expanded, until none
+change. Where a node is in more lists than it meets in one round, an edge it didn't meet stays fresh and comes first in a
+later one. Queries walk the graph greedily, always expanding the nearest node of a beam not yet expanded, until none
 of the beam is left. Graph and vectors are broadcast for the walk while they are within BROADCAST_BYTES; beyond, the
-same walk is done by joins, one hop of all queries at a time.
+same walk is done by joins, one hop of all queries at a time. ``neighbours`` measures recall on a sample of the nodes
+against all vectors, and raises beam and degree until it holds.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ BLOCK = 256
 TREES = 2
 ROUNDS, STOP = 10, 0.004
 BROADCAST_BYTES = 256 << 20
+#: Recall that SAMPLE nodes must reach. Beam, then degree grow by GROW while they don't, to at most MOST times what they were.
+TARGET, SAMPLE, GROW, MOST = 0.92, 256, 1.5, 4
 _STATE = "id long, vec binary, block int, nbr binary, dist binary, fresh binary"
 OUT = "vec_id long, rank int, neighbour_id long, distance double"
 
@@ -163,16 +168,16 @@ def _merge(degree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nbr, dist, fresh, changed = [], [], [], []
-            for own, n, d, ids, ds in zip(batch.column("id").to_pylist(), batch.column("nbr"), batch.column("dist"), batch.column("nbrs"), batch.column("dists"), strict=True):
+            for own, n, d, ids, ds, wait in zip(batch.column("id").to_pylist(), *(batch.column(c) for c in ("nbr", "dist", "nbrs", "dists", "late")), strict=True):
                 n, d = np.frombuffer(n.as_buffer(), np.int64), np.frombuffer(d.as_buffer(), np.float32)
-                f = np.zeros(len(n), np.uint8)
+                f = np.isin(n, np.array(wait.as_py() or [], np.int64)).astype(np.uint8)
                 new = np.concatenate([np.zeros(0, np.int64), *(_rows(ids.values, np.int64) if ids.is_valid else [])])
                 far = np.concatenate([np.zeros(0, np.float32), *(_rows(ds.values, np.float32) if ds.is_valid else [])])
-                n, d, f = _top(np.concatenate((n, new[new != own])), np.concatenate((d, far[new != own])), np.concatenate((f, np.ones(int((new != own).sum()), np.uint8))), degree)
+                n, d, f = _top(np.concatenate((n, new[new != own])), np.concatenate((d, far[new != own])), np.concatenate((f, np.full(int((new != own).sum()), 2, np.uint8))), degree)
                 nbr.append(n.tobytes())
                 dist.append(d.tobytes())
-                fresh.append(f.tobytes())
-                changed.append(int(f.sum()))
+                fresh.append((f > 0).astype(np.uint8).tobytes())
+                changed.append(int((f == 2).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), batch.column("block"), *(pa.array(c, pa.binary()) for c in (nbr, dist, fresh)), pa.array(changed, pa.int32())], names=["id", "vec", "block", "nbr", "dist", "fresh", "changed"])
 
     return run
@@ -221,14 +226,17 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         edges = state.mapInArrow(_edges, "id long, other long, fresh boolean")
         place = state.select(F.col("id").alias("at"), "block")
         back = edges.select(F.col("other").alias("id"), F.col("id").alias("other"), "fresh")
-        back = back.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "other", F.lit(turn)), "other"))).where(F.col("n") <= degree).drop("n")
+        back = back.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("fresh"), F.xxhash64("id", "other", F.lit(turn)), "other")))
+        back = cut(back.where((F.col("n") <= degree) | F.col("fresh")))
+        late = back.where(F.col("n") > degree).groupBy(F.col("other").alias("owner")).agg(F.collect_list("id").alias("late"))
+        back = back.where(F.col("n") <= degree).drop("n")
         both = edges.unionByName(back).groupBy("id", "other").agg(F.max("fresh").alias("fresh"))
         both = cut(both.join(place, F.col("id") == F.col("at")).select("block", "id", "other", "fresh"))
         named = both.select("block", "other").distinct().join(state.mapInArrow(_worst(degree), "known long, vec binary, worst double"), F.col("other") == F.col("known"))
         rows = both.select("block", "id", "other", "fresh", F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("double").alias("worst")).unionByName(named.select("block", F.lit(None).cast("long").alias("id"), "other", F.lit(None).cast("boolean").alias("fresh"), "vec", "worst"))
         met = rows.groupBy("block").applyInArrow(_introduce, "id long, nbr binary, dist binary")
         met = met.groupBy("id").agg(F.collect_list("nbr").alias("nbrs"), F.collect_list("dist").alias("dists")).withColumnRenamed("id", "to")
-        merged = cut(state.join(met, F.col("id") == F.col("to"), "left").select("id", "vec", "block", "nbr", "dist", "nbrs", "dists").mapInArrow(_merge(degree), _STATE + ", changed int"))
+        merged = cut(state.join(met, F.col("id") == F.col("to"), "left").join(late, F.col("id") == F.col("owner"), "left").select("id", "vec", "block", "nbr", "dist", "nbrs", "dists", "late").mapInArrow(_merge(degree), _STATE + ", changed int"))
         state = merged.drop("changed")
         if (merged.agg(F.sum("changed")).first()[0] or 0) <= stop * nodes * degree:
             break
@@ -354,10 +362,11 @@ def _listed(k: int, own: bool):
     return run
 
 
-def search(graph: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, beam: int = BEAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, beam: int = BEAM, broadcast_bytes: int = BROADCAST_BYTES, only: list[int] | None = None) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest nodes found for each query, nearest first.
 
-    Without ``queries`` every node of the graph is one, starts at itself and isn't its own neighbour. Queries with
+    Without ``queries`` every node of the graph is one (or those of ``only``), starts at itself and isn't its own
+    neighbour. Queries with
     null ids or vectors, or vectors of another length than the graph's, have no rows; repeated ids count once, the
     least vector. Fewer than k rows where the graph has fewer nodes.
     """
@@ -367,7 +376,7 @@ def search(graph: DataFrame, queries: DataFrame | None = None, id_col: str = "ve
     if first is None:
         return spark.createDataFrame([], OUT)
     if own:
-        q = graph.select("id", "vec")
+        q = graph.select("id", "vec") if only is None else graph.where(F.col("id").isin(only)).select("id", "vec")
     else:
         dim = first["n"] // 4
 
@@ -399,3 +408,59 @@ def search(graph: DataFrame, queries: DataFrame | None = None, id_col: str = "ve
         edges = graph.mapInArrow(_edges, "id long, other long, fresh boolean").select(F.col("id").alias("to"), F.col("other").alias("node"))
         met = ahead.join(edges, "to").select("q", "node").distinct()
     return state.mapInArrow(_listed(k, own), OUT)
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, k: int):
+    """(vec_id, distance) of the k nearest vectors of a partition for each of a few nodes, the node itself left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.full((len(ids), k), np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                d = _distances(x, _matrix(part.column("vec")))
+                d[ids[:, None] == np.asarray(part.column("id"))[None]] = np.inf
+                near = np.sort(np.concatenate((near, d), axis=1), axis=1)[:, :k]
+        keep = np.isfinite(near)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keep.sum(axis=1))), pa.array(np.sqrt(near[keep]))], names=["vec_id", "distance"])
+
+    return run
+
+
+def truth(graph: DataFrame, k: int = K, sample: int = SAMPLE) -> dict[int, list[float]]:
+    """The exact distances of the k nearest neighbours of ``sample`` nodes, those of the least hashes."""
+    rows = graph.select("id", "vec").orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample).collect()
+    if not rows:
+        return {}
+    ids, x = np.array([r["id"] for r in rows], np.int64), np.stack([np.frombuffer(r["vec"], np.float32) for r in rows])
+    found = graph.select("id", "vec").mapInArrow(_nearest(ids, x, k), "vec_id long, distance double")
+    return {r["vec_id"]: r["d"] for r in found.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list("distance")), 1, k).alias("d")).collect()}
+
+
+def recall(graph: DataFrame, beam: int, exact: dict[int, list[float]], k: int = K) -> float:
+    """The share of the exact neighbours' places that the walk fills as near; 1 where there is none to find."""
+    places = sum(map(len, exact.values()))
+    if not places:
+        return 1.0
+    got = search(graph, k=k, beam=beam, only=list(exact)).select("vec_id", "distance").collect()
+    return sum(r["distance"] <= exact[r["vec_id"]][-1] + 1e-5 for r in got) / places
+
+
+def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, beam: int = BEAM, target: float = TARGET) -> DataFrame:
+    """``search`` of every node over a graph of a degree and with a beam at which sampled recall reaches ``target``.
+
+    Says so in a warning where it is still less at MOST times the degree and the beam given.
+    """
+    wide, large, exact = beam * MOST, degree * MOST, None
+    while True:
+        graph = build(vectors, id_col, vector_col, degree=degree)
+        exact = truth(graph, k) if exact is None else exact
+        width = beam
+        while (reached := recall(graph, width, exact, k)) < target and width < wide:
+            width = min(wide, int(np.ceil(width * GROW)))
+        if reached >= target or degree >= large:
+            break
+        degree = min(large, int(np.ceil(degree * GROW)))
+    if reached < target:
+        warnings.warn(f"recall {reached:.3f} of a sample at degree {degree} and beam {width}, under {target}", stacklevel=2)
+    return search(graph, k=k, beam=width)

@@ -74,7 +74,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexsieve.llm import ann
 
-    return ann.search(ann.build(_table(spark, sf_dir, "embeddings")))
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

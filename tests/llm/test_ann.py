@@ -47,3 +47,14 @@ def test_odd_rows(spark):
     assert ann.search(ann.build(df.where("vec_id = 0"))).count() == 0
     queries = df.where("vec_id is null or vec_id in (0, 50, 51, 52)")
     assert {r.vec_id for r in ann.search(ann.build(df), queries, k=2).collect()} == {0}
+
+
+def test_degree_and_beam_grow_until_recall_holds(data):
+    ids, x, df = data
+    x = x.astype(float)
+    few = ann.build(df, degree=5)
+    assert recall(ann.search(few, beam=11).collect(), ids, x, ids, x, True) < 0.85
+    exact = ann.truth(few)
+    d = np.sqrt(((x[:, None] - x[[*exact]][None]) ** 2).sum(axis=2))
+    assert len(exact) == ann.SAMPLE and np.allclose(np.sort(d, axis=0)[1:11].T, [*exact.values()], atol=1e-4)
+    assert recall(ann.neighbours(df, degree=5, beam=11).collect(), ids, x, ids, x, True) > 0.9
