@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexsieve.llm import decontamination, ngram_jaccard, pii, sentencepiece_codec, toxicity
-from lexsieve.llm._spark import cut, maybe_broadcast
+from lexsieve.llm._spark import ID_BYTES, cut, maybe_broadcast
 
 #: SQL can't express the models of stages 1, 4 and 5; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -34,7 +34,7 @@ def _row_key(docs: DataFrame) -> Column:
 
 def _having(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs`` whose key is (left_semi) or isn't (left_anti) in ``keys``, a table of one column, ``gone``."""
-    return docs.join(maybe_broadcast(keys, keys.count()), key == keys["gone"], how)
+    return docs.join(maybe_broadcast(keys, ID_BYTES), key == keys["gone"], how)
 
 
 def _without(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one 8-byte id that may be broadcast; larger sides are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes that may be broadcast; larger sides are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: What a row of one 8-byte number takes in a broadcast table.
+ID_BYTES = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,8 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first()["n"] or 0)
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its row count is within BROADCAST_IDS, else as it is (a shuffle join follows)."""
-    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+def maybe_broadcast(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df``, a small plan such as a table read back, marked for broadcast if its bytes are within BROADCAST_BYTES, else
+    as it is (a shuffle join follows). ``row_bytes``: of each row alike, or an expression of its size."""
+    size = F.sum(row_bytes) if isinstance(row_bytes, Column) else F.count(F.lit(1)) * row_bytes
+    return F.broadcast(df) if int(df.agg(size.alias("n")).first()["n"] or 0) <= BROADCAST_BYTES else df

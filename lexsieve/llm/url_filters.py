@@ -87,14 +87,13 @@ def match(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
     rules = cut(rules)
-    n = rules.count()
     # the distinct URLs are matched, so that a hot one is matched once and no row needs an id
     urls = pages.where("url is not null").select("url").distinct().withColumn("have", url_tokens(F.col("url")))
     token = urls.select("url", "have", F.explode("have").alias("token"))
-    seen = token.join(maybe_broadcast(rules.select(F.explode("tokens").alias("token")).distinct(), n * 8), "token").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    seen = token.join(maybe_broadcast(rules.select(F.explode("tokens").alias("token")).distinct(), 16 + F.octet_length("token")), "token").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
     index = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(seen, "token", "left")
     index = cut(index.groupBy("rule_id", "tokens", "confidence").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token")).alias("least")).select("rule_id", "tokens", "confidence", F.col("least.token").alias("token")))
-    hits = token.join(maybe_broadcast(index, n * 8), "token").where(F.size(F.array_except("tokens", "have")) == 0)
+    hits = token.join(maybe_broadcast(index, 64 + F.octet_length(F.array_join("tokens", " ")) + 16 * F.size("tokens")), "token").where(F.size(F.array_except("tokens", "have")) == 0)
     found = hits.groupBy("url").agg(F.count(F.lit(1)).alias("n_rules"), F.max("confidence").alias("confidence")).withColumnRenamed("url", "found")
     out = pages.join(found, F.col("url") == F.col("found"), "left")
     return out.select("page_id", F.col("n_rules").isNotNull().alias("rejected"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "confidence")
