@@ -1,27 +1,36 @@
-"""Canonical forms as Column expressions; NFKC alone needs a Python worker, and sees only texts beyond ASCII."""
+"""Canonical forms as Column expressions; NFKC alone needs a Python worker, and sees only texts that it may change."""
 
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexsieve.functions import chars
+from lexsieve.functions.chars import BUILT_IN, Tables
 
-SPACE = r"\p{IsWhite_Space}"
+#: The characters of the Unicode property White_Space. Those of one byte are spelt out one by one, which makes a class
+#: look them up in a table, and the others stand behind a range that most text fails at once.
+SPACES = r"\t\n\x0B\f\r \x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]"
+SPACE = f"[{SPACES}]"
 WORD = r"\P{IsWhite_Space}+"
 PIECE = rf"{WORD}|{SPACE}+"
 #: Joins the words of a text while they are canonicalised together; no step makes or removes it.
 JOINT = "\n"
 
 
+#: Characters that NFKC may change.
+_CHANGING = rf"[\x{{80}}-\x{{10FFFF}}&&[^{chars.INERT}]]"
+
+
 @dataclass(frozen=True)
 class Flags:
-    """Steps of canonicalisation. The last three are extensions: off unless asked for."""
+    """Steps of canonicalisation. leet, fold_diacritics and lookalikes_first are extensions: off unless asked for."""
 
     normalize: bool = True
     aggressive: bool = True
@@ -30,6 +39,8 @@ class Flags:
     leet: bool = False
     fold_diacritics: bool = False
     lookalikes_first: bool = False
+    #: Character tables, ours unless others are given.
+    tables: Tables = field(default=BUILT_IN, compare=False)
 
     @property
     def keeps_underscore(self) -> bool:
@@ -46,9 +57,14 @@ def _without_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
 
 
+def inert(text: Column) -> Column:
+    """Whether NFKC surely leaves the text as it is: all its characters are of scripts that have nothing to compose."""
+    return ~text.rlike(_CHANGING)
+
+
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition. ASCII texts don't leave the JVM: the worker gets null for them."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Unicode compatibility composition. Inert texts don't leave the JVM: the worker gets null for them."""
+    return F.coalesce(_nfkc(F.when(~inert(text), text)), text)
 
 
 def strip_diacritics(text: Column) -> Column:
@@ -61,13 +77,14 @@ def _translate(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(whole), "".join(table[c] for c in whole))
 
 
-def fold_decorated(text: Column) -> Column:
-    return _translate(text, chars.DECORATED)
+def fold_decorated(text: Column, tables: Tables = BUILT_IN) -> Column:
+    return _translate(text, tables.decorated)
 
 
 def strip_signs(text: Column, keep_underscore: bool = False) -> Column:
     """Only letters, digits, white space and, if asked, underscores."""
-    return F.regexp_replace(text, rf"[^\p{{IsAlphabetic}}\p{{N}}{SPACE}{'_' if keep_underscore else ''}]", "")
+    ascii_signs = "".join(f"\\x{c:02X}" for c in range(128) if not (chr(c).isalnum() or chr(c) in "\t\n\x0b\x0c\r " or keep_underscore and chr(c) == "_"))
+    return F.regexp_replace(text, rf"[{ascii_signs}[\x{{80}}-\x{{10FFFF}}&&[^\p{{IsAlphabetic}}\p{{N}}\p{{IsWhite_Space}}]]]", "")
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -75,60 +92,99 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def normalize_text(text: Column, keep_underscore: bool = False) -> Column:
+def _folded(text: Column, keep_underscore: bool, tables: Tables, collapse: Callable[[Column, bool], Column]) -> Column:
+    """NFKC, lower case, decoration folded, signs dropped, spaces collapsed (which is told whether NFKC made the text). An
+    inert text has nothing to compose, and nothing to fold either unless a given table says so."""
+    composed = _nfkc(F.when(~inert(text), text))
+    slow = strip_signs(fold_decorated(F.lower(composed), tables), keep_underscore)
+    lower = F.lower(text)
+    fast = strip_signs(lower if tables.proven else fold_decorated(lower, tables), keep_underscore)
+    return F.when(composed.isNull(), collapse(fast, False)).otherwise(collapse(slow, True))
+
+
+def normalize_text(text: Column, keep_underscore: bool = False, tables: Tables = BUILT_IN) -> Column:
     """NFKC, lower case, decoration folded, signs dropped, spaces collapsed."""
-    return collapse_spaces(strip_signs(fold_decorated(F.lower(nfkc(text))), keep_underscore))
+    return _folded(text, keep_underscore, tables, lambda t, _: collapse_spaces(t))
 
 
 def contains_cyrillic(text: Column) -> Column:
     return text.rlike("[Ѐ-ӿ]")
 
 
-def to_latin(text: Column) -> Column:
+def to_latin(text: Column, tables: Tables = BUILT_IN) -> Column:
     """Cyrillic letters as Latin ones; hard and soft sign vanish."""
-    for c, latin in chars.TO_LATIN.items():
+    out = text
+    for c, latin in tables.to_latin.items():
         if len(latin) > 1:
-            text = F.replace(text, F.lit(c), F.lit(latin))
-    return _translate(text, {c: latin for c, latin in chars.TO_LATIN.items() if len(latin) < 2})
+            out = F.replace(out, F.lit(c), F.lit(latin))
+    return _translate(out, {c: latin for c, latin in tables.to_latin.items() if len(latin) < 2})
 
 
-def to_cyrillic(text: Column) -> Column:
+def to_cyrillic(text: Column, tables: Tables = BUILT_IN) -> Column:
     """Latin letters as Cyrillic ones, the longest sequence first."""
-    for latin, c in chars.SEQUENCES:
-        text = F.replace(text, F.lit(latin), F.lit(c))
-    return _translate(text, chars.TO_CYRILLIC)
+    if tables.proven:
+        for latin, c in chars.SEQUENCES:
+            text = F.replace(text, F.lit(latin), F.lit(c))
+        return _translate(text, chars.TO_CYRILLIC)
+    table = tables.to_cyrillic
+    longest = sorted((x for x in table if len(x) > 1), key=lambda x: -len(x))
+    if not longest:
+        return _translate(text, table)
+    # a greedy scan from the left: at each place the longest sequence that stands there
+    images = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    scan = F.regexp_extract_all(text, F.lit("(?s)" + "|".join([*("".join(f"\\x{{{ord(c):x}}}" for c in x) for x in longest), "."])), F.lit(0))
+    return F.array_join(F.transform(scan, lambda x: F.coalesce(F.try_element_at(images, x), x)), "")
 
 
-def fold_lookalikes(text: Column) -> Column:
-    return _translate(text, chars.LOOKALIKES)
+def fold_lookalikes(text: Column, tables: Tables = BUILT_IN) -> Column:
+    return _translate(text, tables.lookalikes)
 
 
 def fold_leet(text: Column) -> Column:
-    """Digits and signs written for letters, inside words that have a letter (an extension)."""
+    """Digits and signs written for letters, in a word that has a letter (an extension)."""
     return F.when(text.rlike(r"\p{IsAlphabetic}"), _translate(text, chars.LEET)).otherwise(text)
 
 
-def _steps(text: Column, flags: Flags, space: str, collapse) -> Column:  # noqa: ANN001
+def any_of(keys: Iterable[str]) -> str:
+    """A regular expression that finds any of the keys as a whole among forms joined by JOINT: a trie of their letters,
+    so that a word is given up at the first letter that no key goes on with."""
+    root: dict = {}
+    for key in keys:
+        node = root
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spell(node: dict) -> str:
+        ends = [] if "" not in node else [rf"(?:{JOINT}|\z)"]
+        parts = [f"\\x{{{ord(c):x}}}{spell(rest)}" for c, rest in sorted(node.items()) if c]
+        both = ends + parts
+        return both[0] if len(both) == 1 else f"(?:{'|'.join(both)})"
+
+    return rf"(?:\A|{JOINT}){spell(root)}" if root else r"(?!)"
+
+
+def _steps(text: Column, flags: Flags, collapse: Callable[[Column, bool], Column]) -> Column:
+    tables = flags.tables
     if flags.leet:
-        text = _translate(text, chars.LEET)
+        text = F.array_join(F.transform(F.split(text, JOINT), fold_leet), JOINT)
     if flags.normalize or flags.aggressive:
-        text = strip_signs(fold_decorated(F.lower(nfkc(text))), flags.keeps_underscore)
-        text = collapse(text)
+        text = _folded(text, flags.keeps_underscore, tables, collapse)
     if flags.fold_diacritics:
         text = strip_diacritics(text)
     if flags.lookalikes and flags.lookalikes_first:
-        text = fold_lookalikes(text)
+        text = fold_lookalikes(text, tables)
     if flags.transliterate:
         # letters that aren't Cyrillic stay as they are, so the test for Cyrillic changes nothing
-        text = to_cyrillic(to_latin(text))
+        text = to_cyrillic(to_latin(text, tables), tables)
     if flags.lookalikes and not flags.lookalikes_first:
-        text = fold_lookalikes(text)
+        text = fold_lookalikes(text, tables)
     return text
 
 
 def canonicalize(text: Column, flags: Flags = Flags()) -> Column:  # noqa: B008
     """The canonical form of one word or entry."""
-    return _steps(text, flags, SPACE, collapse_spaces)
+    return _steps(text, flags, lambda t, _: collapse_spaces(t))
 
 
 def words(text: Column) -> Column:
@@ -136,16 +192,46 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def canonical_words(text: Column, flags: Flags = Flags()) -> Column:  # noqa: B008
-    """Canonical forms of a text's words, in step with ``words``; a word of signs only has the empty form.
+def canonical_joined(text: Column, flags: Flags = Flags(), joined: bool = False) -> Column:  # noqa: B008
+    """The canonical forms of a text's words in one string, joined by JOINT.
 
-    All words of a text are canonicalised in one string, joined by a character that every step leaves alone: one
-    expression for the whole text, without exploding it and without a function call for each word.
+    One expression for the whole text, without exploding it, an array of its words, or a function call for each: the
+    spaces between words become a character that every step leaves alone.
     """
 
-    def collapse(t: Column) -> Column:
-        t = F.regexp_replace(t, rf"[{SPACE}&&[^\n]]+", " ")
-        return F.regexp_replace(t, r" *\n *", JOINT)
+    def collapse(t: Column, composed: bool) -> Column:
+        # spaces inside a word can only come from NFKC
+        return F.trim(F.regexp_replace(F.regexp_replace(t, rf"[{SPACES}&&[^\n]]+", " "), r" *\n *", JOINT)) if composed else t
+
+    return _steps(text if joined else _joined(text), flags, collapse)
+
+
+def _joined(text: Column) -> Column:
+    """The text with one JOINT for each run of white space, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", JOINT), F.lit(JOINT))
+
+
+def with_canonical(df: DataFrame, text: str, name: str, flags: Flags = Flags()) -> DataFrame:  # noqa: B008
+    """``df`` with ``canonical_joined`` of a column. Each step that the next ones use several times is a projection of its
+    own, which the optimizer doesn't merge, so it is computed once."""
+    df = df.withColumn("__joined", _joined(F.col(text)))
+    return df.withColumn(name, canonical_joined(F.col("__joined"), flags, joined=True)).drop("__joined")
+
+
+def canonical_words(text: Column, flags: Flags = Flags()) -> Column:  # noqa: B008
+    """Canonical forms of a text's words, in step with ``words``; a word of signs only has the empty form, and a text
+    without words that form alone."""
+    return F.split(canonical_joined(text, flags), JOINT)
+
+
+#: The name NFKC has in SQL once registered.
+_SQL_NFKC = "lexsieve_nfkc"
+
 
-    joined = _steps(F.array_join(words(text), JOINT), flags, SPACE, collapse)
-    return F.transform(F.split(joined, JOINT), F.trim) if flags.normalize or flags.aggressive else F.split(joined, JOINT)
+def register(spark: SparkSession, flags: Flags = Flags(), name: str = "canonicalize") -> None:  # noqa: B008
+    """Make ``canonicalize(text)`` available to SQL, as an expression that is inlined into the query."""
+    spark.udf.register(_SQL_NFKC, _nfkc)
+    plan = spark.createDataFrame([], "t string").select(canonicalize(F.col("t"), flags).alias("c"))._jdf.queryExecution().analyzed()
+    quoted = _CHANGING.replace("\\", "\\\\")
+    body = plan.expressions().head().child().sql().replace("_nfkc(", f"{_SQL_NFKC}(").replace(f"RLIKE(t, {_CHANGING})", f"rlike(t, '{quoted}')")
+    spark.sql(f"create or replace temporary function {name}(t string) returns string return {body}")

@@ -1,25 +1,35 @@
 """Detection and censoring of texts by a lexicon.
 
-Verdicts and censored texts are computed within each row: the lexicon's keys, if there are at most INLINE_KEYS, are an
-in-set of the expression itself, so neither needs a shuffle or an exploded row. More keys are joined by broadcast.
-Only similarity matching goes through a dictionary: each distinct word is compared once.
+Verdicts and censored texts are computed within each row, so nothing is shuffled, exploded or numbered. The lexicon's
+keys, if there are at most INLINE_KEYS, are a part of the expression itself. More keys, and matching by similarity,
+are a set or a matcher broadcast to Python workers, which get the words' canonical forms and give back those that match;
+each worker judges a word once as long as it remembers it. A lexicon whose keys don't fit BROADCAST_BYTES is joined by
+shuffle with the distinct words.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from lexsieve.functions.canonical import SPACE, Flags, canonical_words, words
-from lexsieve.functions.similarity import jaro_winkler_of, least_jaro, may_match
+from lexsieve.functions.canonical import JOINT, SPACE, Flags, any_of, canonical_joined, canonical_words, with_canonical, words
+from lexsieve.functions.similarity import Matcher, jaro_winkler_all, least_jaro
 from lexsieve.sources.lexicon import Lexicon
 
 INLINE_KEYS = 20_000
+#: Characters of a key beyond which no regular expression is made of the keys.
+LONG_KEY = 200
+#: Bytes of keys that may be sent to every worker.
+BROADCAST_BYTES = 32 << 20
+#: Words that a worker remembers its verdict on, at most.
+REMEMBERED = 1_000_000
 
 
 def effective_threshold(threshold: float | None) -> float | None:
@@ -33,6 +43,7 @@ class Moderator:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.flags = lexicon, lexicon.flags
         self._keys: list[str] | None = None
+        self._many: list[str] | None = None
 
     @property
     def languages(self) -> list[str]:
@@ -44,82 +55,108 @@ class Moderator:
     def _inline(self) -> list[str] | None:
         """The keys, if they are few enough to stand in an expression."""
         if self._keys is None:
-            self._keys = [r["canon"] for r in self.lexicon.keys().limit(INLINE_KEYS + 1).collect()]
+            self._keys = sorted(r["canon"] for r in self.lexicon.keys().limit(INLINE_KEYS + 1).collect())
         return self._keys if len(self._keys) <= INLINE_KEYS else None
 
-    def _listed(self, df: DataFrame, text: str, threshold: float | None) -> tuple[DataFrame, Column, list[str]]:
-        """``df`` with what the word test needs, the test's matched words, and helper columns to drop."""
-        df = df.withColumn("__canon", canonical_words(F.col(text), self.flags))
+    def _all(self) -> list[str] | None:
+        """The keys, if they may be sent to the workers."""
         keys = self._inline()
+        if keys is None and self._many is None:
+            size = self.lexicon.keys().agg(F.sum(F.octet_length("canon") + 64)).first()[0] or 0
+            self._many = sorted(r["canon"] for r in self.lexicon.keys().collect()) if size <= BROADCAST_BYTES else []
+        return keys if keys is not None else self._many or None
+
+    def _in_row(self, threshold: float | None) -> Callable[[Column], Column] | None:
+        """Whether a canonical word is a key, as a condition on it; None if that takes more than an expression."""
+        keys = self._inline()
+        if effective_threshold(threshold) is not None or keys is None:
+            return None
+        return lambda w: w.isin(keys) if keys else F.lit(False)
+
+    def _holds_key(self, joined: str) -> Column:
+        """Whether any of a text's canonical forms, joined, is a key: one pass of a regular expression where keys are of a
+        usual length, else a look at each form. Null for a null text."""
+        keys = self._inline() or []
+        if max(map(len, keys), default=0) <= LONG_KEY:
+            return F.col(joined).rlike(any_of(keys))
+        return F.exists(F.split(joined, JOINT), lambda w: w.isin(keys))
+
+    def _with_hits(self, df: DataFrame, text: str, threshold: float | None) -> DataFrame:
+        """``df`` with ``__hits``: the distinct canonical words of the text that match, where no in-set will do."""
         fuzzy = effective_threshold(threshold)
-        if fuzzy is None and keys is not None:
-            return df, F.filter("__canon", lambda w: w.isin(keys) if keys else F.lit(False)), ["__canon"]
-        matched = self._matched_words(df.select(F.explode("__canon").alias("canon")), fuzzy)
-        hits = df.withColumn("__row", F.monotonically_increasing_id())
-        found = hits.select("__row", F.explode(F.array_distinct("__canon")).alias("canon")).join(matched, "canon").groupBy("__row").agg(F.collect_list("canon").alias("__hits"))
-        return hits.join(found, "__row", "left"), F.coalesce("__hits", F.array().cast("array<string>")), ["__canon", "__row", "__hits"]
-
-    def _matched_words(self, canon: DataFrame, threshold: float | None) -> DataFrame:
-        """Distinct words that equal a key, or are more similar to one than the threshold."""
-        distinct = canon.where(F.col("canon") != "").distinct()
-        exact = distinct.join(F.broadcast(self.lexicon.keys()) if self._inline() is not None else self.lexicon.keys(), "canon", "left_semi")
+        keys = self._all()
+        if keys is not None:
+            return df.withColumn("__hits", _matching(df, keys, fuzzy)(canonical_joined(F.col(text), self.flags)))
+        # a word matches or doesn't, whatever text it stands in: rows meet their words by the text's hash, and it does no
+        # harm that two texts may share one
+        each = df.select(F.xxhash64(text).alias("__text"), F.explode(F.array_distinct(canonical_words(F.col(text), self.flags))).alias("canon")).where("canon != ''")
+        found = each.distinct().join(self._matched_words(each.select("canon").distinct(), fuzzy), "canon").groupBy("__text").agg(F.collect_list("canon").alias("__hits"))
+        return df.withColumn("__of", F.xxhash64(text)).join(found, F.col("__of") == F.col("__text"), "left").drop("__of", "__text")
+
+    def _matched_words(self, distinct: DataFrame, threshold: float | None) -> DataFrame:
+        """Words that equal a key, or are more similar to one than the threshold."""
+        exact = distinct.join(self.lexicon.keys(), "canon", "left_semi")
         if threshold is None:
             return exact
         rest = distinct.join(exact, "canon", "left_anti")
-        return exact.unionByName(self.similar_words(rest, threshold).select("canon"))
+        return exact.unionByName(self.similar_words(rest, threshold).select("canon")).distinct()
 
     def similar_words(self, canon: DataFrame, threshold: float) -> DataFrame:
-        """(canon, key, score) of each word and every key more similar than the threshold.
+        """(canon, key, score) of each word and every key more similar than the threshold; null words have none.
 
-        A word meets only keys of lengths that allow it, by an equality join on the length, then those whose
-        characters allow it.
+        Keys that fit BROADCAST_BYTES go to the workers: no join, no shuffle. More are joined on the lengths that allow
+        the threshold.
         """
-        keys = self.lexicon.keys().select(F.col("canon").alias("key"))
-        j = least_jaro(threshold)
-        low = 3 * j - 2
-        n = F.char_length("key")
+        keys = self._all()
+        if keys is not None:
+            matcher = canon.sparkSession.sparkContext.broadcast(Matcher(keys, threshold))
+
+            def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    said = [w for w in batch.column("canon").to_pylist() if w is not None]
+                    w, k, score = matcher.value.pairs(said)
+                    yield pa.RecordBatch.from_arrays([pa.array([said[i] for i in w], pa.string()), pa.array([keys[i] for i in k], pa.string()), pa.array(score)], names=["canon", "key", "score"])
+
+            return canon.select("canon").mapInArrow(compared, "canon string, key string, score double")
+        key = self.lexicon.keys().select(F.col("canon").alias("key"))
+        low = 3 * least_jaro(threshold) - 2
         if low > 0:
-            near = F.sequence(F.greatest(F.lit(1), F.floor(n * low).cast("int")), F.ceil(n / low).cast("int"))
-            keys = keys.select("key", F.explode(near).alias("len"))
-            pairs = canon.withColumn("len", F.char_length("canon")).join(F.broadcast(keys) if self._inline() is not None else keys, "len").select("canon", "key")
+            n = F.char_length("key")
+            near = key.select("key", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(n * low).cast("int")), F.ceil(n / low).cast("int"))).alias("len"))
+            pairs = canon.select("canon", F.char_length("canon").alias("len")).join(near, "len").select("canon", "key")
         else:
-            pairs = canon.crossJoin(F.broadcast(keys) if self._inline() is not None else keys)
+            pairs = canon.select("canon").crossJoin(key)
 
-        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b = b[may_match(b["canon"], b["key"], threshold)].copy()
-                b["score"] = [jaro_winkler_of(x, y) for x, y in zip(b["canon"], b["key"], strict=True)]
-                yield b[b["score"] > threshold]
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                score = jaro_winkler_all(batch.column("canon").to_pylist(), batch.column("key").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=["canon", "key", "score"]).filter(pa.array(score > threshold))
 
-        return pairs.mapInPandas(scored, "canon string, key string, score double")
+        return pairs.where("canon is not null").mapInArrow(scored, "canon string, key string, score double")
 
     def detect(self, df: DataFrame, text: str = "text", threshold: float | None = None) -> DataFrame:
         """``df`` with ``found``: whether any word matches."""
-        out, hits, extra = self._listed(df, text, threshold)
-        exact = effective_threshold(threshold) is None and self._inline() is not None
-        keys = self._keys or []
-        test = F.exists("__canon", lambda w: w.isin(keys) if keys else F.lit(False)) if exact else F.size(hits) > 0
-        return out.withColumn("found", F.when(F.col(text).isNotNull(), test)).drop(*extra)
+        if self._in_row(threshold) is not None:
+            return with_canonical(df, text, "__canon", self.flags).withColumn("found", self._holds_key("__canon")).drop("__canon")
+        out = self._with_hits(df, text, threshold)
+        return out.withColumn("found", F.when(F.col(text).isNotNull(), F.coalesce(F.size("__hits") > 0, F.lit(False)))).drop("__hits")
 
     def censor(self, df: DataFrame, mask: str = "*", text: str = "text", threshold: float | None = None) -> DataFrame:
         """``df`` with ``found`` and ``censored``: each matching word, signs attached to it included, masked by as many
         of the first character of ``mask``; white space stays as it is, and a clean text is itself."""
         if not mask:
             raise ValueError("the mask is empty")
-        out, hits, extra = self._listed(df, text, threshold)
-        if "__hits" in extra:
-            found, is_hit = F.size(hits) > 0, lambda c: F.array_contains("__hits", c)
-        else:
-            keys = self._keys or []
-            is_hit = lambda c: c.isin(keys) if keys else F.lit(False)
-            found = F.exists("__canon", is_hit)
+        is_key = self._in_row(threshold)
+        out = with_canonical(df if is_key is not None else self._with_hits(df, text, threshold), text, "__joined_canon", self.flags)
+        found = self._holds_key("__joined_canon") if is_key is not None else F.coalesce(F.size("__hits") > 0, F.lit(False))
+        out = out.withColumn("found", F.when(F.col(text).isNotNull(), found))
+        is_hit = is_key if is_key is not None else lambda c: F.array_contains("__hits", c)
         # zipped, not looked up by index: the optimizer would move a looked-up array's expression into the lambda
-        masked = F.zip_with(words(F.col(text)), "__canon", lambda w, c: F.when(is_hit(c), F.repeat(F.lit(mask[0]), F.char_length(w))).otherwise(w))
+        masked = F.zip_with(words(F.col(text)), F.split("__joined_canon", JOINT), lambda w, c: F.when(is_hit(c), F.repeat(F.lit(mask[0]), F.char_length(w))).otherwise(w))
         lead = F.regexp_extract(text, f"^{SPACE}*", 0)
         after = F.regexp_extract_all(F.regexp_replace(text, f"^{SPACE}+", ""), F.lit(f"{SPACE}+"), F.lit(0))
         whole = F.concat(lead, F.array_join(F.zip_with(masked, after, lambda w, s: F.concat(w, F.coalesce(s, F.lit("")))), ""))
-        out = out.withColumn("found", F.when(F.col(text).isNotNull(), found))
-        return out.withColumn("censored", F.when(F.col("found"), whole).otherwise(F.col(text))).drop(*extra)
+        return out.withColumn("censored", F.when(F.col("found"), whole).otherwise(F.col(text))).drop("__joined_canon", "__hits")
 
     def status(self, df: DataFrame, text: str = "text", threshold: float | None = None) -> DataFrame:
         """``df`` with ``status``: BLOCKED or OK."""
@@ -129,21 +166,56 @@ class Moderator:
         """The rows without a matching word."""
         return self.detect(df, text, threshold).where(~F.col("found")).drop("found")
 
+    def _holding(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with ``__canon``, without the rows that surely hold no key."""
+        out = with_canonical(df, text, "__canon", self.flags)
+        return out.where(self._holds_key("__canon")) if self._in_row(None) is not None else out
+
     def hits(self, df: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """(key, pos, token, canon, lang, raw): every matching word with each entry it matches."""
+        """(key, pos, token, canon, lang, raw): every matching word with each entry it matches.
+
+        Only words that are a key leave their row, where the keys fit an expression.
+        """
         entries = self.lexicon.entries().select("canon", "lang", "raw")
-        each = df.select(key, F.posexplode(F.arrays_zip(words(F.col(text)).alias("token"), canonical_words(F.col(text), self.flags).alias("canon"))).alias("pos", "w"))
-        each = each.select(key, "pos", F.col("w.token").alias("token"), F.col("w.canon").alias("canon")).where(F.col("canon") != "")
-        return each.join(F.broadcast(entries) if self._inline() is not None else entries, "canon").select(key, "pos", "token", "canon", "lang", "raw")
+        is_key = self._in_row(None)
+        df = self._holding(df.select(key, text), text)
+        said = F.zip_with(words(F.col(text)), F.split("__canon", JOINT), lambda w, c: F.struct(w.alias("token"), c.alias("canon")))
+        placed = F.transform(said, lambda w, i: F.struct(i.alias("pos"), w["token"].alias("token"), w["canon"].alias("canon")))
+        each = df.select(key, F.explode(F.filter(placed, lambda w: is_key(w["canon"]) if is_key is not None else w["canon"] != "")).alias("w")).select(key, "w.pos", "w.token", "w.canon")
+        return each.join(F.broadcast(entries) if is_key is not None else entries, "canon").select(key, "pos", "token", "canon", "lang", "raw")
 
     def top_hits(self, df: DataFrame, text: str = "text", n: int = 20) -> DataFrame:
         """(canon, hits): the most frequent matching words, ties by word."""
-        keys = self.lexicon.keys()
-        each = df.select(F.explode(canonical_words(F.col(text), self.flags)).alias("canon")).where(F.col("canon") != "")
-        found = each.join(F.broadcast(keys) if self._inline() is not None else keys, "canon", "left_semi")
+        is_key = self._in_row(None)
+        canon = F.split("__canon", JOINT)
+        each = self._holding(df.select(text), text).select(F.explode(F.filter(canon, is_key) if is_key is not None else canon).alias("canon")).where(F.col("canon") != "")
+        found = each if is_key is not None else each.join(self.lexicon.keys(), "canon", "left_semi")
         return found.groupBy("canon").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "canon").limit(n)
 
 
+def _matching(df: DataFrame, keys: list[str], threshold: float | None) -> Callable[[Column], Column]:
+    """Takes canonical words joined by JOINT, gives the distinct ones that equal a key or are more similar to one."""
+    shared = df.sparkSession.sparkContext.broadcast((frozenset(keys), None if threshold is None else Matcher(keys, threshold)))
+
+    @F.pandas_udf("array<string>")
+    def matching(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, matcher = shared.value
+        verdict: dict[str, bool] = {"": False}
+        for texts in batches:
+            said = [None if t is None else list(dict.fromkeys(t.split(JOINT))) for t in texts]
+            if len(verdict) > REMEMBERED:
+                verdict = {"": False}
+            new = [w for w in dict.fromkeys(w for ws in said if ws for w in ws) if w not in verdict]
+            verdict.update((w, w in known) for w in new)
+            if matcher is not None:
+                rest = [w for w in new if not verdict[w]]
+                for i in np.unique(matcher.pairs(rest)[0]):
+                    verdict[rest[i]] = True
+            yield pd.Series([None if ws is None else [w for w in ws if verdict[w]] for ws in said], dtype=object)
+
+    return matching
+
+
 #: Characters with the Unicode property White_Space; Python's own class has more.
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = re.compile(f"[^{_SPACES}]+")

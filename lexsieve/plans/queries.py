@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from lexsieve.functions.similarity import jaro_winkler
 from lexsieve.operators.moderator import Moderator, word_spans
 from lexsieve.plans import prepare as P
 from lexsieve.plans import score as S
-from lexsieve.sources.lexicon import Lexicon
-from lexsieve.sources.tables import spread
+from lexsieve.sources.lexicon import Lexicon, read_pack_index
+from lexsieve.sources import folders
+from lexsieve.sources.tables import PRESETS, Source
 from lexsieve.streaming.moderate import moderated
 
 #: A small lexicon of our own. Lists proper come from a folder; see Lexicon.from_dir.
@@ -30,7 +33,7 @@ LEXICON = {
 PLAIN = Flags(transliterate=False, lookalikes=False)
 FULL = Flags()
 LITERALS = ["привет", "щука", "schuka", "hello", "мир и труд", "объезд", "яблоко ёж", "b4d", "", "tsch yaya"]
-SIMILAR = [("martha", "marhta"), ("hello", "hellp"), ("cheeseburger", "cheese fries"), ("badword", "badwords"), ("abc", "xyz"), ("exactt", "exact"), ("same", "same"), ("dixon", "dicksonx")]
+SIMILAR = [("martha", "marhta"), ("hello", "hellp"), ("cheeseburger", "cheese fries"), ("blorbish", "blorbishes"), ("abc", "xyz"), ("exactt", "exact"), ("same", "same"), ("dixon", "dicksonx")]
 #: Ways to hide a word, and whether the default flags see through them.
 EVASIONS = [("🅼🅾🆁🅾🅽", True), ("ｍｏｒｏｎ", True), ("m.o.r.o.n", True), ("MORON!!", True), ("mоrоn", True), ("m​oron", True), ("m0r0n", False), ("m o r o n", False), ("moronic", False), ("", False)]
 
@@ -40,8 +43,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name == "documents" else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -199,6 +201,25 @@ def lexicon_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon(spark).packs()
 
 
+@query(f"select lang, {_normal('raw')} as canon from {_ENTRIES} where lang in ('en', 'fr')")
+def lexicon_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of two lists of a folder of text files, with byte order marks and both kinds of line ends."""
+    path = f"{folders.app_dir(spark)}/lists"
+    for lang, text in LEXICON.items():
+        folders.put(spark, f"{path}/{lang}.txt", "\ufeff" + text.replace("\n", "\r\n" if lang == "fr" else "\n") + "\n\n")
+    return Lexicon.from_dir(spark, path, [" EN ", "fr"], PLAIN).entries().select("lang", "canon")
+
+
+@query(f"select lang, count(*) as words, 'packs/' || lang || '.json' as file from {_ENTRIES} group by lang")
+def lexicon_pack_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of packs, with as many words in each file as it says."""
+    path = f"{folders.app_dir(spark)}/packs"
+    lexicon(spark).write_packs(path)
+    index = read_pack_index(spark, path)
+    there = Lexicon.from_packs(spark, path, flags=PLAIN).raw.groupBy("lang").agg(F.count(F.lit(1)).alias("words"))
+    return index.join(there, ["lang", "words"]).select("lang", "words", "file")
+
+
 # --- detection -------------------------------------------------------------------------------------------------
 
 
@@ -272,34 +293,47 @@ def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(SIMILAR, "a string, b string").select("a", "b", F.round(jaro_winkler(F.col("a"), F.col("b")), 9).alias("score"))
 
 
-def _sql_fuzzy(t: float) -> str:
-    ascii_only = "regexp_full_match(text, '[\\x00-\\x7F]*')"
-    return f"select distinct item_id from (select item_id, {_normal('token')} as canon from {_tokens(f'(select * from benchmark where {ascii_only})', 'item_id')}) w, {_keys(_normal)} k where w.canon <> '' and (w.canon = k.canon or (regexp_full_match(k.canon, '[\\x00-\\x7F]*') and jaro_winkler_similarity(w.canon, k.canon) > {t}))"
+#: DuckDB's function compares bytes: letters beyond ASCII become capitals and signs, which no canonical form has.
+_LETTERS = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
+_BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^{|}~"
+
+
+def _bytes(x: str) -> str:
+    return f"translate({x}, '{_LETTERS}', '{_BYTES}')"
+
 
+def _sql_fuzzy(table: str, key: str, t: float) -> str:
+    similar = f"select w.canon from (select distinct {_normal('token')} as canon from {_tokens(table, key)}) w, {_keys(_normal)} k where w.canon <> '' and (w.canon = k.canon or jaro_winkler_similarity({_bytes('w.canon')}, {_bytes('k.canon')}) > {t})"
+    return f"select distinct {key} from {_tokens(table, key)} where {_normal('token')} in ({similar})"
 
-def _fuzzy(spark: SparkSession, sf_dir: str, t: float) -> DataFrame:
-    texts = _table(spark, sf_dir, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return Moderator(lexicon(spark)).detect(texts, threshold=t).where("found").select("item_id")
 
+def _fuzzy(spark: SparkSession, sf_dir: str, table: str, key: str, t: float) -> DataFrame:
+    return Moderator(lexicon(spark)).detect(_table(spark, sf_dir, table), threshold=t).where("found").select(key)
 
-@query(_sql_fuzzy(0.95))
+
+@query(_sql_fuzzy("benchmark", "item_id", 0.95))
 def detect_fuzzy_95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuzzy(spark, sf_dir, 0.95)
+    return _fuzzy(spark, sf_dir, "benchmark", "item_id", 0.95)
 
 
-@query(_sql_fuzzy(0.90))
+@query(_sql_fuzzy("benchmark", "item_id", 0.90))
 def detect_fuzzy_90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fuzzy(spark, sf_dir, 0.90)
+    return _fuzzy(spark, sf_dir, "benchmark", "item_id", 0.90)
+
+
+@query(_sql_fuzzy("documents", "doc_id", 0.95))
+def detect_fuzzy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fuzzy(spark, sf_dir, "documents", "doc_id", 0.95)
 
 
 @query(
-    f"select canon, key, round(jaro_winkler_similarity(canon, key), 9) as score from (select distinct {_normal('token')} as canon from {_tokens('documents', 'doc_id')}) w, (select canon as key from {_keys(_normal)}) k"
-    " where regexp_full_match(canon, '[\\x00-\\x7F]+') and regexp_full_match(key, '[\\x00-\\x7F]+') and jaro_winkler_similarity(canon, key) > 0.9"
+    f"select canon, key, round(jaro_winkler_similarity({_bytes('canon')}, {_bytes('key')}), 9) as score from (select distinct {_normal('token')} as canon from {_tokens('documents', 'doc_id')}) w, (select canon as key from {_keys(_normal)}) k"
+    f" where canon <> '' and jaro_winkler_similarity({_bytes('canon')}, {_bytes('key')}) > 0.9"
 )
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Moderator(lexicon(spark))
-    words = _table(spark, sf_dir, "documents").select(F.explode(C.canonical_words(F.col("text"), PLAIN)).alias("canon")).distinct().where(F.col("canon").rlike(r"^[\x00-\x7F]+$"))
-    return m.similar_words(words, 0.9).where(F.col("key").rlike(r"^[\x00-\x7F]+$")).select("canon", "key", F.round("score", 9).alias("score"))
+    words = _table(spark, sf_dir, "documents").select(F.explode(C.canonical_words(F.col("text"), PLAIN)).alias("canon")).where("canon != ''").distinct()
+    return m.similar_words(words, 0.9).select("canon", "key", F.round("score", 9).alias("score"))
 
 
 # --- preparation -----------------------------------------------------------------------------------------------
@@ -320,7 +354,7 @@ def _sql_first(label: str) -> str:
 
 def _prepared(spark: SparkSession, sf_dir: str, labels: str, df: DataFrame | None = None) -> DataFrame:
     df = df if df is not None else _labelled(spark, sf_dir).withColumn("label", F.col("toxic"))
-    return P.prepare(df, labels, [F.col("doc_id")], text_col="text").select("comment_text", "label")
+    return P.prepare(df, labels, F.col("doc_id"), text_col="text").select("comment_text", "label")
 
 
 @query(f"select comment_text, label from {_sql_first('toxic')}")
@@ -353,7 +387,7 @@ def prep_pairs_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("neutral_sentence"))
     pairs = docs.withColumnRenamed("text", "toxic_sentence").join(after, "doc_id")
-    return P.prepare(pairs, "pairs", [F.col("doc_id")]).select("comment_text", "label")
+    return P.prepare(pairs, "pairs", F.col("doc_id")).select("comment_text", "label")
 
 
 @query(
@@ -361,10 +395,24 @@ def prep_pairs_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prep_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _labelled(spark, sf_dir)
-    parts = [P.prepare(df.withColumn("label", x), "label", [F.col("doc_id")], text_col="text") for x in (F.col("toxic"), 1 - F.col("quality"))]
+    parts = [P.prepare(df.withColumn("label", x), "label", F.col("doc_id"), text_col="text") for x in (F.col("toxic"), 1 - F.col("quality"))]
     return P.union(parts)
 
 
+_SQL_UNION = ORACLE_SQL["prep_union_dedup"]
+
+
+@query(_SQL_UNION)
+def prep_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources by name, a preset over Parquet and a CSV file, read, labelled, cleaned and united."""
+    path = f"{folders.app_dir(spark)}/sources"
+    rows = _labelled(spark, sf_dir).coalesce(1).sortWithinPartitions("doc_id")
+    rows.select("text", F.col("toxic").alias("label")).write.mode("overwrite").parquet(f"{path}/first")
+    rows.select("text", (1 - F.col("quality")).alias("label")).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/second")
+    preset = replace(PRESETS["binary"], path=f"{path}/first")
+    return P.prepare_sources(spark, {"binary": preset, "own": Source(f"{path}/second", "csv", "label", "text")})
+
+
 @query(
     f"with p as {_sql_first('toxic')}, n as (select count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg from p),"
     " r as (select *, row_number() over (partition by label order by md5(comment_text || '42'), comment_text) as k from p)"
@@ -374,9 +422,9 @@ def prep_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.balance(_prepared(spark, sf_dir, "label"), 0.3)
 
 
-@query(f"select comment_text, label from {_sql_first('toxic')} order by md5(comment_text || '42'), comment_text limit 50")
+@query(f"select comment_text, label from {_sql_first('toxic')} order by md5(comment_text || '42'), comment_text limit 20")
 def prep_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.sample(_prepared(spark, sf_dir, "label"), 50)
+    return P.sample(_prepared(spark, sf_dir, "label"), 20)
 
 
 @query(f"select comment_text, label, case when cast('0x' || substr(md5(comment_text || '42'), 1, 4) as int) % 10 = 0 then 'eval' else 'train' end as part from {_sql_first('toxic')}")
@@ -424,11 +472,11 @@ def hybrid_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f" case when d.k in (select k from {_found('d', 'k', _normal)}) then 'BLOCKED' else 'OK' end as status from d, k"
 )
 def stream_moderation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations moderated as a stream of files, run to its end into memory."""
+    """Conversations moderated as a stream of files, run to its end into Parquet files."""
     schema = _table(spark, sf_dir, "conversations").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations*.parquet")
     out = moderated(stream, Moderator(lexicon(spark))).select("conv_id", "turn", "censored", "status")
-    name = "stream_moderation_out"
-    running = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    path = f"{folders.app_dir(spark)}/stream-{uuid.uuid4().hex}"
+    running = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{path}/out")

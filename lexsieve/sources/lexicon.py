@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexsieve.functions.canonical import Flags, canonicalize
+from lexsieve.sources import folders
 
 RAW = "lang string, line_no int, raw string"
 CUSTOM = "custom"
@@ -99,9 +101,35 @@ class Lexicon:
         ordered = lines.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("line_no", "raw"))).alias("lines"))
         return ordered.select("lang", F.to_json(F.col("lines.raw")).alias("words"))
 
-    def write_packs(self, path: str) -> None:
-        """A folder of JSON text for each language."""
-        self.packs().write.mode("overwrite").partitionBy("lang").text(path)
+    def write_packs(self, path: str, name: str = "word-lists", version: str = "1.0.0") -> None:
+        """``packs/<language>.json``, a JSON array each, with ``index.json``, ``package.json`` and ``README.md`` beside them.
+
+        The index lists languages in order with their file and number of words. What is at ``path`` is replaced.
+        """
+        spark, packs = self.raw.sparkSession, self.packs()
+        files = [(r["lang"], r["words"]) for r in packs.orderBy("lang").toLocalIterator()]
+        folders.delete(spark, path)
+        index = []
+        for lang, words in files:  # a lexicon is small, and each of its lists a file of its own
+            folders.put(spark, f"{path}/packs/{lang}.json", words)
+            index.append({"lang": lang, "file": f"packs/{lang}.json", "words": len(json.loads(words))})
+        folders.put(spark, f"{path}/index.json", json.dumps(index, ensure_ascii=False))
+        folders.put(spark, f"{path}/package.json", json.dumps({"name": name, "version": version, "files": ["index.json", "packs"], "languages": [x["lang"] for x in index]}, ensure_ascii=False))
+        folders.put(spark, f"{path}/README.md", f"# {name}\n\n| language | words |\n|-|-|\n" + "".join(f"| {x['lang']} | {x['words']} |\n" for x in index))
+
+    @classmethod
+    def from_packs(cls, spark: SparkSession, path: str, languages: Iterable[str] | None = None, flags: Flags = Flags()) -> Lexicon:  # noqa: B008
+        """The lists that ``write_packs`` wrote."""
+        files = spark.read.text(f"{path.rstrip('/')}/packs/*.json", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"([^/]*)\.json$", 1).alias("lang"), "value")
+        raw = files.select("lang", F.posexplode(F.from_json("value", "array<string>")).alias("line_no", "raw"))
+        available = [r["lang"] for r in read_pack_index(spark, path).orderBy("lang").collect()]
+        return cls(raw, available, flags).select(languages)
+
+
+def read_pack_index(spark: SparkSession, path: str) -> DataFrame:
+    """(lang, words, file) of the packs in a folder."""
+    index = spark.read.text(f"{path.rstrip('/')}/index.json", wholetext=True)
+    return index.select(F.inline(F.from_json("value", "array<struct<lang:string,words:bigint,file:string>>")))
 
 
 def combined(lexicons: Iterable[Lexicon]) -> DataFrame:

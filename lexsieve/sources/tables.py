@@ -30,12 +30,6 @@ PRESETS: dict[str, Source] = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, if its files have fewer splits than there are: a small table in one row group."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read(spark: SparkSession, source: Source) -> DataFrame:
     reader = spark.read
     return reader.csv(source.path, header=True, inferSchema=True, multiLine=True, escape='"') if source.format == "csv" else reader.format(source.format).load(source.path)

@@ -1,9 +1,14 @@
+import json
+import random
+
+import numpy as np
 import pytest
 from lexsieve.functions.canonical import Flags
-from lexsieve.functions.similarity import jaro_winkler_of, register
+from lexsieve.functions.similarity import jaro_winkler_all, jaro_winkler_of, register
 from lexsieve.operators import moderator as M
 from lexsieve.operators.moderator import Moderator, effective_threshold, word_spans
-from lexsieve.sources.lexicon import Lexicon, UnsupportedLanguage
+from lexsieve.plans.queries import QUERIES
+from lexsieve.sources.lexicon import Lexicon, UnsupportedLanguage, read_pack_index
 
 
 @pytest.fixture(scope="module")
@@ -33,9 +38,9 @@ def censored(spark, lexicon, text, mask="*", threshold=None):
         (["badword"], "b a d w o r d", 1.0, "*", False),
         (["bad word"], "a bad word here", 1.0, "*", False),
         (["bad word"], "badword", 0.9, "*", "*******"),
-        (["badword"], "badwords", 0.0, "*", False),
-        (["badword"], "badwords", -1, "*", False),
-        (["badword"], "badwords", 1.5, "*", False),
+        (["badword"], "badwordy", 0.0, "*", False),
+        (["badword"], "badwordy", -1, "*", False),
+        (["badword"], "badwordy", 1.5, "*", False),
         (["hello"], "hеllo", 1.0, "*", "*****"),
         (["hello"], "h⍺llo", 1.0, "*", False),
         (["privet"], "привет", 1.0, "*", "******"),
@@ -57,14 +62,24 @@ def test_verdicts_and_joined_path(spark, lex, monkeypatch):
     assert [r.status for r in sorted(Moderator(lex).status(texts).collect())] == ["BLOCKED", "OK", None, "OK", "BLOCKED", "OK"]
     assert [r.id for r in Moderator(lex).clean(texts).orderBy("id").collect()] == [1, 3, 5]
     before = {r.id: r.censored for r in Moderator(lex).censor(texts).collect()}
+    hits = sorted(map(str, Moderator(lex).hits(texts, "id").collect()))
+    top = Moderator(lex).top_hits(texts).collect()
     monkeypatch.setattr(M, "INLINE_KEYS", 1)
-    assert [r.found for r in sorted(Moderator(lex).detect(texts).collect())] == inline
-    assert {r.id: r.censored for r in Moderator(lex).censor(texts).collect()} == before
+    for size in (M.BROADCAST_BYTES, 1):  # keys sent to the workers, keys joined by shuffle
+        monkeypatch.setattr(M, "BROADCAST_BYTES", size)
+        assert [r.found for r in sorted(Moderator(lex).detect(texts).collect())] == inline
+        assert {r.id: r.censored for r in Moderator(lex).censor(texts).collect()} == before
+        assert sorted(map(str, Moderator(lex).hits(texts, "id").collect())) == hits and Moderator(lex).top_hits(texts).collect() == top
+        assert [r.found for r in sorted(Moderator(lex).detect(frame(spark, "shiit", "shit", None, "fine"), threshold=0.9).collect())] == [True, True, None, False]
 
 
-def test_no_shuffle_for_exact_verdicts(spark, lex):
-    plan = Moderator(lex).censor(frame(spark, "x"))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Generate" not in plan
+def test_no_shuffle_for_verdicts(spark, lex):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for t in (None, 0.9):
+        for df in (Moderator(lex).censor(frame(spark, "x"), threshold=t), Moderator(lex).detect(frame(spark, "x"), threshold=t)):
+            assert "Exchange" not in plan(df) and "Generate" not in plan(df) and "monotonically" not in plan(df)
+    for name in ("detect_exact", "censor_text", "clean_documents"):
+        assert "Exchange" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
 def test_hits_and_languages(spark, lex):
@@ -91,8 +106,14 @@ def test_lists_from_a_folder(spark, tmp_path):
     assert {(r.lang, r.entries, r["keys"]) for r in lex.sizes().collect()} == {("en", 3, 2), ("fr", 2, 2)}
     packs = {r.lang: r.words for r in lex.packs().collect()}
     assert packs == {"en": '["Bad","bad","f[o]+l"]', "fr": '["con","chier","###"]'}
-    lex.write_packs(str(tmp_path / "out"))
-    assert {r.value for r in spark.read.text(str(tmp_path / "out")).collect()} == set(packs.values())
+    out = tmp_path / "out"
+    lex.write_packs(str(out))
+    assert {k: (out / "packs" / f"{k}.json").read_text() for k in packs} == packs
+    assert [tuple(r) for r in read_pack_index(spark, str(out)).collect()] == [("en", 3, "packs/en.json"), ("fr", 3, "packs/fr.json")]
+    assert json.loads((out / "package.json").read_text())["languages"] == ["en", "fr"] and "| fr | 3 |" in (out / "README.md").read_text()
+    back = Lexicon.from_packs(spark, str(out), flags=lex.flags)
+    assert back.languages == ["en", "fr"] and {r.canon for r in back.keys().collect()} == {r.canon for r in lex.keys().collect()}
+    assert Lexicon.from_packs(spark, str(out), ["fr"]).languages == ["fr"]
     assert Lexicon.from_dir(spark, str(tmp_path), ["fr"]).languages == ["fr"]
 
 
@@ -102,24 +123,39 @@ def test_thresholds():
 
 @pytest.mark.parametrize(
     ("a", "b", "want"),
-    [("hello", "hello", 1), ("hello", "hellp", 0.92), ("hello", "world", 0.466667), ("abc", "xyz", 0), ("badw0rd", "badword", 0.942857), ("martha", "marhta", 0.961111), ("cheeseburger", "cheese fries", 0.866667), ("badword", "badwords", 0.975), ("exactt", "exact", 0.966667), ("", "", 1), ("", "a", 0)],
+    [("hello", "hello", 1), ("hello", "hellp", 0.92), ("hello", "world", 0.466667), ("abc", "xyz", 0), ("badw0rd", "badword", 0.942857), ("martha", "marhta", 0.961111), ("cheeseburger", "cheese fries", 0.866667), ("badword", "badwordy", 0.975), ("exactt", "exact", 0.966667), ("", "", 1), ("", "a", 0)],
 )
 def test_similarity(a, b, want):
     assert jaro_winkler_of(a, b) == pytest.approx(want, abs=1e-6) and jaro_winkler_of(b, a) == pytest.approx(want, abs=1e-6)
 
 
+def test_similarity_of_many_pairs_at_once():
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdé🙂") for _ in range(r.choice([0, 1, 2, 3, 5, 8, 13, 40])))
+    a, b = [word() for _ in range(3000)], [word() for _ in range(3000)]
+    b[::3] = [x[:2] + x[3:4] + x[2:3] + x[4:] for x in a[::3]]
+    assert np.allclose(jaro_winkler_all(a, b, cells=256), [jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], atol=1e-12)
+    assert len(jaro_winkler_all([], [])) == 0
+
+
 def test_similarity_in_sql(spark):
     register(spark)
     assert spark.sql("select round(jaro_winkler('martha', 'marhta'), 6) as s").first().s == 0.961111
 
 
-def test_similar_words_equal_all_pairs(spark, lex):
+def test_similar_words_equal_all_pairs(spark, monkeypatch):
     keys = ["badword", "shitty", "slowly", "ab", "abcd"]
-    said = ["badw0rd", "badwords", "shity", "slowely", "abdc", "ba", "xyz", "b", "badwordbadword"]
+    keys += ["éclair", "ñandúx"]
+    said = ["éclaïr", "ñandux", "eclair", "badw0rd", "badwordy", "shity", "slowely", "abdc", "ba", "xyz", "b", "badwordbadword"]
     m = Moderator(Lexicon.from_mapping(spark, {"aa": "\n".join(keys)}, Flags(transliterate=False, lookalikes=False)))
     for t in (0.95, 0.9, 0.8, 0.5, 0.3):
         got = {(r.canon, r.key) for r in m.similar_words(spark.createDataFrame([(w,) for w in said], "canon string"), t).collect()}
         assert got == {(w, k) for w in said for k in keys if jaro_winkler_of(w, k) > t}
+        with monkeypatch.context() as p:
+            p.setattr(M, "INLINE_KEYS", 1)
+            p.setattr(M, "BROADCAST_BYTES", 1)
+            far = Moderator(Lexicon.from_mapping(spark, {"aa": "\n".join(keys)}, Flags(transliterate=False, lookalikes=False)))
+            assert got == {(r.canon, r.key) for r in far.similar_words(spark.createDataFrame([(w,) for w in [*said, None]], "canon string"), t).collect()}
 
 
 def test_spans(spark):
