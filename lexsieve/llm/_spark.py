@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexsieve.sources.folders import app_dir, delete
+
 #: Bytes that may be broadcast; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 #: What a row of one 8-byte number takes in a broadcast table.
 ID_BYTES = 16
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode,
-    as in tests; on a cluster an error, since a machine's own folder is not shared."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="lexsieve-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, so no executor holds the only copy."""
+    """Write ``df`` as Parquet to the application's shared folder and read it back, so no executor holds the only copy.
+
+    The folder goes when the driver ends; ``drop`` frees a table earlier.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexsieve-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexsieve_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``cut`` gave and that nothing reads any more."""
+    delete(df.sparkSession, df._lexsieve_path)
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:

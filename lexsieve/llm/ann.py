@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexsieve.llm import _text as X
-from lexsieve.llm._spark import cut
+from lexsieve.llm._spark import ID_BYTES, cut, maybe_broadcast
 
 K = 10
 DEGREE = 40
@@ -31,6 +31,8 @@ BEAM = 96
 BLOCK = 256
 TREES = 2
 ROUNDS, STOP = 10, 0.004
+#: Nodes from which walks of vectors that aren't nodes begin.
+ENTRIES = 64
 BROADCAST_BYTES = 256 << 20
 #: Recall that SAMPLE nodes must reach. Beam, then degree grow by GROW while they don't, to at most MOST times what they were.
 TARGET, SAMPLE, GROW, MOST = 0.92, 256, 1.5, 4
@@ -57,6 +59,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T), 0)
 
 
+def _far(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of rows that stand in step, one way for both walks, so that they agree to the last bit."""
+    diff = x.astype(np.float64) - q
+    return (diff * diff).sum(axis=-1)
+
+
 def _top(ids: np.ndarray, dist: np.ndarray, fresh: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of a list, each id once (an entry that isn't fresh goes before a fresh one), ties by id."""
     order = np.lexsort((fresh, ids))
@@ -194,11 +202,23 @@ def _worst(degree: int):
     return run
 
 
+def _salted(placed: DataFrame, block: int) -> DataFrame:
+    """``placed`` with a salt that cuts a block of very many vectors, such as equal ones, into several of usual size."""
+    large = cut(placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 8 * block).select(F.col("block").alias("large"), F.ceil(F.col("n") / (4 * block)).alias("pieces")))
+    out = placed.join(maybe_broadcast(large, 2 * ID_BYTES), F.col("block") == F.col("large"), "left")
+    return out.select("id", "vec", "block", F.coalesce(F.pmod(F.xxhash64("id", F.lit("salt")), F.col("pieces")), F.lit(0).cast("long")).alias("salt"))
+
+
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, block: int = BLOCK, trees: int = TREES, rounds: int = ROUNDS, stop: float = STOP) -> DataFrame:
     """The graph: (id, vec, block, nbr, dist, fresh), lists packed, nearest first, by Euclidean distance.
 
     Null ids and vectors, empty ones, and vectors with a null or NaN element are left out, and so are vectors whose
-    length isn't the commonest one. Of several vectors under one id the least stays.
+    length isn't the commonest one, the shorter of two as common. Of several vectors under one id the least stays, so
+    repeated rows are one node. Of neighbours as far the lesser id comes first. An empty table gives an empty graph.
+    Vectors of any length are taken whole, and other columns, whatever their names, are not looked at.
+
+    ``rounds`` and ``stop`` end the descent, ``degree`` bounds each list and how many of the lists that name a node
+    it meets in one round; what it doesn't meet stays fresh for the next.
     """
     spark = vectors.sparkSession
     v = _clean(vectors, id_col, vector_col)
@@ -217,7 +237,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     bits = max(0, int(np.ceil(np.log2(max(1, v.count() / block)))))
     seeds = None
     for tree in range(trees):
-        s = v.mapInArrow(_blocks(dim, bits, tree), "id long, vec binary, block int").groupBy("block").applyInArrow(_seed(degree), "id long, vec binary, block int, nbr binary, dist binary")
+        s = _salted(v.mapInArrow(_blocks(dim, bits, tree), "id long, vec binary, block int"), block).groupBy("block", "salt").applyInArrow(_seed(degree), "id long, vec binary, block int, nbr binary, dist binary")
         seeds = s if seeds is None else seeds.unionByName(s)
     lists = seeds.groupBy("id").agg(F.first("vec").alias("vec"), F.min("block").alias("block"), F.collect_list("nbr").alias("nbrs"), F.collect_list("dist").alias("dists"))
     state = cut(lists.mapInArrow(_merge_seeds(degree), _STATE))
@@ -253,8 +273,6 @@ class Graph:
         self.nbr = np.full((len(ids), max(1, width)), -1, np.int32)
         for row, k in enumerate(order):
             self.nbr[row, : len(lists[k])] = np.searchsorted(self.ids, lists[k])
-        rng = np.random.default_rng(5)
-        self.entries = np.sort(rng.permutation(len(ids))[:64])
 
     def search(self, q: np.ndarray, start: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, distances) of the k nearest of each query found by greedy walks from ``start`` [query, entries]."""
@@ -266,12 +284,11 @@ class Graph:
         def take(new: np.ndarray, live: np.ndarray) -> None:
             valid = new >= 0
             valid &= ~(new[:, :, None] == rows[live][:, None, :]).any(axis=2)
-            diff = self.x[np.maximum(new, 0)].astype(np.float64) - q[live][:, None, :]
-            d = np.where(valid, (diff * diff).sum(axis=2), np.inf)
+            d = np.where(valid, _far(q[live][:, None, :], self.x[np.maximum(new, 0)]), np.inf)
             all_rows = np.concatenate((rows[live], np.where(valid, new, -1)), axis=1)
             all_dist = np.concatenate((dist[live], d), axis=1)
             all_done = np.concatenate((done[live], ~valid), axis=1)
-            order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
+            order = np.lexsort((all_rows, all_dist), axis=1)[:, :beam]
             rows[live] = np.take_along_axis(all_rows, order, 1)
             dist[live] = np.take_along_axis(all_dist, order, 1)
             done[live] = np.take_along_axis(all_done, order, 1)
@@ -291,7 +308,7 @@ class Graph:
         return np.take_along_axis(rows, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def _walk(shared, k: int, beam: int, own: bool):
+def _walk(shared, k: int, beam: int, own: bool, entries: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g: Graph = shared.value
         for batch in batches:
@@ -301,8 +318,7 @@ def _walk(shared, k: int, beam: int, own: bool):
                 if own:
                     start = np.searchsorted(g.ids, ids)[:, None]
                 else:
-                    near = _distances(q, g.x[g.entries])
-                    start = g.entries[np.argsort(near, axis=1, kind="stable")[:, :4]]
+                    start = np.repeat(np.searchsorted(g.ids, entries)[None], len(q), axis=0)
                 rows, dist = g.search(q, start, k + own, beam)
                 keep = (rows >= 0) & ~(own & (g.ids[np.maximum(rows, 0)] == ids[:, None]))
                 rank = np.cumsum(keep, axis=1)
@@ -315,19 +331,19 @@ def _walk(shared, k: int, beam: int, own: bool):
     return run
 
 
-def _step(degree_k: int, beam: int):
+def _step(beam: int):
     """Merge the vectors met in one hop into the beams of queries (the walk by joins)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: dict[str, list] = {"rows": [], "dist": [], "open": []}
             for vec, r, d, o, ids, vecs in zip(*(batch.column(c) for c in ("vec", "rows", "dist", "open", "ids", "vecs")), strict=True):
-                q = np.frombuffer(vec.as_buffer(), np.float32)[None]
+                q = np.frombuffer(vec.as_buffer(), np.float32).astype(np.float64)[None]
                 r, d, o = np.frombuffer(r.as_buffer(), np.int64), np.frombuffer(d.as_buffer(), np.float64), np.frombuffer(o.as_buffer(), np.uint8).copy()
                 if len(o) and o.any():
                     o[int(np.flatnonzero(o)[0])] = 0  # that one was expanded in this hop
                 new = np.array(ids.as_py() or [], np.int64)
-                far = _distances(q, _matrix(vecs.values))[0] if len(new) else np.zeros(0)
+                far = _far(q, _matrix(vecs.values)) if len(new) else np.zeros(0)
                 i, far, o = _top(np.concatenate((r, new)), np.concatenate((d, far)), np.concatenate((o, np.ones(len(new), np.uint8))), beam)
                 cols["rows"].append(i.tobytes())
                 cols["dist"].append(far.tobytes())
@@ -368,7 +384,8 @@ def search(graph: DataFrame, queries: DataFrame | None = None, id_col: str = "ve
     Without ``queries`` every node of the graph is one (or those of ``only``), starts at itself and isn't its own
     neighbour. Queries with
     null ids or vectors, or vectors of another length than the graph's, have no rows; repeated ids count once, the
-    least vector. Fewer than k rows where the graph has fewer nodes.
+    least vector. Fewer than k rows where the graph has fewer nodes, none where either table is empty. Of nodes as far
+    the lesser id comes first. Other columns are not looked at. The answers are the same whichever walk is taken.
     """
     spark = graph.sparkSession
     own = queries is None
@@ -386,22 +403,23 @@ def search(graph: DataFrame, queries: DataFrame | None = None, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "vec"])
 
         q = _clean(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(pack, "id long, vec binary")
+    # where walks of other vectors begin: the nodes of the least hashes
+    entries = np.array([] if own else [r["id"] for r in graph.select("id").orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()], np.int64)
     size = graph.agg(F.sum(F.octet_length("vec") + F.octet_length("nbr") + 8)).first()[0]
     if size <= broadcast_bytes:
         got = graph.select("id", "vec", "nbr").toArrow()
         g = Graph(np.asarray(got.column("id").combine_chunks()), _matrix(got.column("vec")), [np.frombuffer(x.as_buffer(), np.int64) for x in got.column("nbr")])
-        return q.mapInArrow(_walk(spark.sparkContext.broadcast(g), k, beam, own), OUT)
+        return q.mapInArrow(_walk(spark.sparkContext.broadcast(g), k, beam, own, entries), OUT)
     empty = F.lit(b"")
     state = q.select("id", "vec", empty.alias("rows"), empty.alias("dist"), empty.alias("open"))
     vectors = graph.select(F.col("id").alias("node"), F.col("vec").alias("near"))
     if own:
         met = q.select(F.col("id").alias("q"), F.col("id").alias("node"))
     else:
-        # 64 entry nodes, those of the least hashes
-        met = q.select(F.col("id").alias("q")).crossJoin(F.broadcast(graph.select(F.col("id").alias("node")).orderBy(F.xxhash64("id"), "id").limit(64)))
+        met = q.select(F.col("id").alias("q"), F.explode(F.array(*[F.lit(int(x)) for x in entries])).alias("node"))
     while True:
         found = met.join(vectors, "node").groupBy("q").agg(F.collect_list("node").alias("ids"), F.collect_list("near").alias("vecs"))
-        state = cut(state.join(found, F.col("id") == F.col("q"), "left").select("id", "vec", "rows", "dist", "open", "ids", "vecs").mapInArrow(_step(k, beam), "id long, vec binary, rows binary, dist binary, open binary"))
+        state = cut(state.join(found, F.col("id") == F.col("q"), "left").select("id", "vec", "rows", "dist", "open", "ids", "vecs").mapInArrow(_step(beam), "id long, vec binary, rows binary, dist binary, open binary"))
         ahead = state.mapInArrow(_next, "q long, to long")
         if ahead.isEmpty():
             break

@@ -25,6 +25,8 @@ from lexsieve.llm._spark import text_bytes
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
 BROADCAST_BYTES = 16 << 20
+#: An item and a text with more pairs of equal windows are tiled by length, with the same tiles.
+MAX_PAIRS = 1 << 18
 OUT = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"
 
 
@@ -60,6 +62,42 @@ def tile(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, k: in
     return tiles
 
 
+def _starts(words: np.ndarray, used: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, running hash) of the windows of ``size`` unmarked words."""
+    at, h = X.windows(words, np.array([0, len(words)]), size)
+    marks = np.concatenate(([0], np.cumsum(used)))
+    free = marks[at + size] == marks[at]
+    return at[free], h[free]
+
+
+def tile_by_length(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tile`` without its pairs of windows: the greatest length of which unmarked windows of both match is
+    found by bisection over running hashes, again and again. For texts that repeat themselves, whose pairs are many."""
+    used_a, used_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    tiles: list[tuple[int, int, int]] = []
+    most = min(len(a), len(b))
+    while most >= k:
+        low, high, best = k, most, None
+        while low <= high:
+            size = (low + high) // 2
+            at_a, h_a = _starts(a, used_a, size)
+            at_b, h_b = _starts(b, used_b, size)
+            first = np.flatnonzero(np.isin(h_a, h_b))
+            if len(first):
+                i = int(first[0])
+                best = (int(at_a[i]), int(at_b[np.flatnonzero(h_b == h_a[i])[0]]), size)
+                low = size + 1
+            else:
+                high = size - 1
+        if best is None:
+            break
+        i, j, most = best
+        used_a[i : i + most] = True
+        used_b[j : j + most] = True
+        tiles.append(best)
+    return tiles
+
+
 class Index:
     """Seeds of all items: ``seeds`` sorted, with the item and position of each."""
 
@@ -76,10 +114,23 @@ class Index:
 
 def _matches(index: Index, words: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
     """(item, coverage, tiles, longest) of a document, given those of its windows that are seeds."""
-    lo, hi = np.searchsorted(index.seeds, h, "left"), np.searchsorted(index.seeds, h, "right")
+    # pairs of windows by item: a seed that stands often in both has the product of either number
+    names, seed, often = np.unique(h, return_inverse=True, return_counts=True)
+    lo, hi = np.searchsorted(index.seeds, names, "left"), np.searchsorted(index.seeds, names, "right")
     n = hi - lo
     flat = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-    item, pos, doc_at = index.item[flat], index.pos[flat], np.repeat(at, n)
+    pairs = np.bincount(index.item[flat], np.repeat(often, n), len(index.ids))
+    for k in np.flatnonzero(pairs > MAX_PAIRS):
+        tiles = tile_by_length(index.words(int(k)), words, index.k)
+        yield int(k), sum(x[2] for x in tiles) / len(index.words(int(k))), len(tiles), max(x[2] for x in tiles)
+    # each of the text's windows against the index's entries of the other items
+    keep = pairs[index.item[flat]] <= MAX_PAIRS
+    of, entry = np.repeat(np.arange(len(names)), n)[keep], flat[keep]
+    n = np.bincount(of, minlength=len(names))
+    first = np.cumsum(n) - n
+    n, first = n[seed], first[seed]
+    each = entry[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    item, pos, doc_at = index.item[each], index.pos[each], np.repeat(at, n)
     order = np.argsort(item, kind="stable")
     item, pos, doc_at = item[order], pos[order], doc_at[order]
     cuts = np.append(X.run_starts(item), len(item))
@@ -151,8 +202,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     ``min_match`` words cover the share ``min_coverage`` or more.
 
     Null ids and null texts on either side take no part, and neither do items and documents of fewer than
-    ``min_match`` words. A row repeated in the documents is reported as often; repeated items count once, and
-    two texts under one item id are two items. Other columns are not looked at.
+    ``min_match`` words, empty ones included. Long texts, repetitive ones too, are tiled whole. Of matches as long the one
+    that starts first in the item, then in the document, is marked first; a coverage equal to ``min_coverage`` is
+    reported. A row repeated in the documents is reported as often, and so is each text under one id; repeated items
+    count once, and two texts under one item id are two items. An empty table on either side gives an empty result.
+    Other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()

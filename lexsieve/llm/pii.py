@@ -95,6 +95,8 @@ def features(span: str, left: str, right: str) -> list[str]:
         out.append(f"dial {span[0] if not span[0].isdigit() else 'd'} {min(n, 14)} {'(' in span} {span.count('(') == span.count(')')}")
     if re.fullmatch(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", span):
         out.append("iban")
+    if re.fullmatch(r"(?:(?:19|20)\d\d[ -])+(?:19|20)\d\d", span):
+        out.append("years")
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", span):
         out.append("ssn")
     if re.fullmatch(r"(?:19|20)\d\d[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.](?:19|20)\d\d", span):
@@ -179,15 +181,14 @@ class Model:
             into = None
             while ahead is not None and ahead[0] == i:
                 _, j, _, s = ahead
-                if s.max() > -4:
-                    if into is None:
-                        into = here[:, None] + self.jump[:, :OUTSIDE]
-                        k_all = into.argmax(axis=0)
-                        into = into[k_all, np.arange(OUTSIDE)]
-                    value, row = into + s, score[j % ring]
-                    for t in np.flatnonzero(value > row[:OUTSIDE]):
-                        row[t] = value[t]
-                        size[j, t], kind[j, t] = j - i, k_all[t]
+                if into is None:
+                    into = here[:, None] + self.jump[:, :OUTSIDE]
+                    k_all = into.argmax(axis=0)
+                    into = into[k_all, np.arange(OUTSIDE)]
+                value, row = into + s, score[j % ring]
+                for t in np.flatnonzero(value > row[:OUTSIDE]):
+                    row[t] = value[t]
+                    size[j, t], kind[j, t] = j - i, k_all[t]
                 ahead = next(segments, None)
         out = []
         j, t = n, int(score[n % ring].argmax())
@@ -292,7 +293,7 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str
         lambda: f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2099)}", lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}",
         lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(2)}%", lambda: f"@{word()}", lambda: f"{word()}{digits(r.randint(1, 3))}", lambda: f"{r.randint(1900, 2030)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}",
         lambda: f"{digits(3)}x{digits(3)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{r.randint(300, 999)}.{r.randint(300, 999)}.{digits(3)}.{digits(3)}", lambda: f"{word()}@", lambda: f"{digits(9)}", lambda: f"{digits(10)}", lambda: f"{digits(2)}-{digits(2)}", lambda: f"#{digits(5)}", lambda: f"{digits(22)}",
-        lambda: f"{r.randint(1900, 2030)} {r.randint(1900, 2030)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+        lambda: r.choice(" -").join(str(r.randint(1900, 2030)) for _ in range(r.randint(2, 6))), lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
     ]
     out = []
     for _ in range(n):
@@ -399,8 +400,10 @@ def _apply(shared):
 def redacted(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, spans) of every row: the text with personal data replaced, and where it stood, in characters.
 
-    A null text has nulls, an empty or clean one is as it was with no spans. Null ids stay null, repeated rows
-    are treated alike, other columns are not looked at.
+    A null text has nulls, an empty or clean one is as it was with no spans. A long text is looked at whole: time is
+    linear in it. Of segmentations of one score the one found first, with the shorter entity first, stands. Null ids
+    stay null, repeated rows and texts under one id are each treated, an empty table gives an empty one, and other
+    columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -408,7 +411,7 @@ def redacted(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def replace_in(docs: DataFrame, model: Model | None = None, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with redacted texts and their lengths, every other column and row as it was."""
+    """``docs`` with redacted texts and their lengths, every other column and row as it was; see ``redacted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

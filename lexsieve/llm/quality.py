@@ -3,7 +3,7 @@
 Each labeller votes good, bad or abstains from one statistic of a text. All documents' votes are counted by pattern
 (at most 3 ** len(LABELLERS) of them), and EM over the counts estimates, without gold labels, how often each labeller
 votes what in good and in bad documents, and how many are bad. The posteriors of at most MAX_SAMPLE documents, those
-of the least hash of doc_id, train a logistic scorer over hashed word shapes, which then judges every document: it
+of the least hash of id and text, train a logistic scorer over hashed word shapes, which then judges every document: it
 sees how often each shape occurs, and so grades texts on which the labellers' fixed cuts abstain or err.
 """
 
@@ -20,6 +20,8 @@ from lexsieve.llm import _text as X
 
 MAX_SAMPLE = 20_000
 DIMENSION = 1 << 16
+#: Beyond so many words the share of words said before counts for less, in proportion.
+OLD_WORDS = 3000
 #: (statistic, bad if above, good if below); reversed where the first is the smaller.
 LABELLERS = (
     ("repeat", 0.2, 0.02),
@@ -90,7 +92,8 @@ class _Words:
             "upper": upper / np.maximum(1, letters),
             "letter": letters / np.maximum(1, size),
             "shout": self.per_doc(last == ord("!")) / words,
-            "old": np.where(self.count >= 40, 1 - distinct / words, 0.0) * np.minimum(1, 3000 / words),
+            # words repeat more the longer a text is
+            "old": np.where(self.count >= 40, 1 - distinct / words, 0.0) * np.minimum(1, OLD_WORDS / words),
             "word_bytes": size / words,
             "words": self.count.astype(float),
         }
@@ -204,13 +207,21 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(doc, kind="stable")
             cuts = np.searchsorted(doc[order], np.arange(w.n + 1))
             pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(w.patterns()), pack(bucket[order].astype(np.int32)), pack(value[order].astype(np.float32))], names=["doc_id", "pattern", "bucket", "value"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("h"), pa.array(w.patterns()), pack(bucket[order].astype(np.int32)), pack(value[order].astype(np.float32))], names=["doc_id", "h", "pattern", "bucket", "value"])
+
+
+def _highest(total: int, max_sample: int) -> int:
+    """The greatest 64-bit hash of a range that holds max_sample of ``total`` rows, and a fifth more to be sure."""
+    return min((1 << 63) - 1, -(1 << 63) + (max_sample * 6 << 64) // (5 * total))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_sample: int = MAX_SAMPLE) -> tuple[Model, dict[str, tuple[float, float]]]:
     """The scorer, and of each labeller the estimated chance of voting bad in (good, bad) documents.
 
-    Null texts are left out; without any text, and without words, the scorer calls everything bad.
+    Votes are counted over all texts. The scorer is fitted to at most ``max_sample`` of them, those of the least hash of
+    id and text; a null id is one like any other, two texts under one id are two, equal rows are interchangeable, and
+    texts of any length are taken whole. Null texts are left out; without any text, an empty table included, and without
+    words, the scorer calls everything bad. Other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     counts = docs.select("text").mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")
@@ -220,15 +231,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_s
     total = int(n.sum())
     if not total:
         return Model(np.zeros(DIMENSION), -5.0), accuracy
-    # a hash range that holds max_sample rows or slightly more, then exactly that many
-    share = min(1.0, 1.2 * max_sample / total)
-    h = F.xxhash64("doc_id", F.lit(3))
-    rows = docs.where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000)).mapInArrow(_sampled, "doc_id long, pattern long, bucket binary, value binary")
-    got = sorted((tuple(r) for r in rows.orderBy(h, "doc_id").limit(max_sample).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], bytes(r[2])))
-    bucket = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[2], np.int32) for r in got)]).astype(np.int64)
-    value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r[3], np.float32) for r in got)]).astype(np.float64)
-    row = np.repeat(np.arange(len(got)), [len(r[2]) // 4 for r in got]).astype(np.int64)
-    at = np.searchsorted(patterns, np.array([r[1] for r in got], np.int64))
+    # a hash range that holds max_sample rows or slightly more, then exactly that many; rows alike in all are interchangeable
+    h = F.xxhash64("doc_id", "text", F.lit(3))
+    rows = docs.where(h <= _highest(total, max_sample)).select("doc_id", h.alias("h"), "text").mapInArrow(_sampled, "doc_id long, h long, pattern long, bucket binary, value binary")
+    got = [tuple(r)[2:] for r in rows.orderBy("h", "doc_id", "pattern", "bucket", "value").limit(max_sample).collect()]
+    bucket = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[1], np.int32) for r in got)]).astype(np.int64)
+    value = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r[2], np.float32) for r in got)]).astype(np.float64)
+    row = np.repeat(np.arange(len(got)), [len(r[1]) // 4 for r in got]).astype(np.int64)
+    at = np.searchsorted(patterns, np.array([r[0] for r in got], np.int64))
     return fit(row, bucket, value, 1 - bad[at]), accuracy
 
 
@@ -245,6 +255,8 @@ def _judge(shared, cut: float):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """(doc_id, score, keep) of every row; score is the probability of good text. A null text has nulls, a text
-    without words scores 0. Null ids stay null, repeated rows are scored alike, other columns are not looked at."""
+    without words, an empty one included, scores 0. A score equal to the cut keeps. Null ids stay null, repeated rows and
+    texts under one id are each scored, long texts whole, an empty table gives an empty one, and other columns are not
+    looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_judge(shared, cut), OUT)

@@ -288,8 +288,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """(doc_id, ids, n_tokens, round_trip) of every row; round_trip says whether decoding the ids gives the text,
     which is found by decoding each distinct word once (a marker in the text itself decodes to a space).
 
-    A null text has nulls, an empty one no ids. Null ids of documents stay null, repeated rows are encoded alike,
-    and other columns are not looked at.
+    A null text has nulls, an empty one no ids, a long one those of the whole text; of segmentations of one score the
+    library's stands. Null ids of documents stay null, repeated rows and texts under one id are each encoded, an empty
+    table gives an empty one, and other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_encode(model, batch_bytes, threads), "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
@@ -310,6 +311,7 @@ def _decode(path: str, threads: int):
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL, threads: int = THREADS) -> DataFrame:
-    """(doc_id, text) of every row of ids; null ids give a null text, no ids an empty one."""
+    """(doc_id, text) of every row of ids; null ids give a null text, no ids an empty one, and as many as there are a
+    whole text. Repeated rows are each decoded, an empty table gives an empty one, other columns are not looked at."""
     encoded = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return encoded.mapInArrow(_decode(model, threads), "doc_id long, text string")

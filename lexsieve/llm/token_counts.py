@@ -2,7 +2,8 @@
 
 Rows are regrouped into batches of about BATCH_BYTES of text. A text longer than that is cut before a space that
 stands between an ASCII letter or digit and an ASCII letter: the pattern that splits a text into pre-tokens always
-has a boundary there, so the pieces' counts add up to the whole text's. Ids never leave the tokenizer's memory.
+has a boundary there, so the pieces' counts add up to the whole text's. The ids of one batch are held by its worker while they
+are counted; only the counts leave it.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def _counts(path: str, pattern: str, batch_bytes: int):
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(doc_id, n_tokens) of every row: null for a null text, 0 for an empty one. Strings of special tokens in a
-    text are ordinary text. Null ids stay null, repeated rows are counted alike, other columns are not looked at."""
+    """(doc_id, n_tokens) of every row: null for a null text, 0 for an empty one, the whole count of a long one. Strings
+    of special tokens in a text are ordinary text. Null ids stay null, repeated rows and texts under one id are each
+    counted, an empty table gives an empty one, and other columns are not looked at."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_counts(vocabulary, pattern, batch_bytes), "doc_id long, n_tokens long")

@@ -25,8 +25,8 @@ from lexsieve.llm._spark import cut
 MAX_LABELLED = 20_000
 DIMENSION = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
-MIN_G = 25.0
-MAX_TERMS = 4096
+#: What a term must reach to have a weight, and how many may: the model's size. Parameters of ``train``.
+MIN_COUNT, MIN_G, MAX_TERMS = 5, 25.0, 4096
 FACTORS = 8
 OUT = "doc_id long, score double, toxic boolean"
 
@@ -95,6 +95,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(row, col, value, len(texts)), -40, 40)))
 
 
+def gradient(model: Model, row: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, l2: float) -> list[np.ndarray]:
+    """Of the weighted logistic loss, with l2 / 2 times the squares of weights and factors, by weights, factors and bias."""
+    n, m = len(label), len(model.w)
+    z = model.raw(row, col, value, n)
+    g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
+    gr = g[row] * value
+    out = [np.bincount(col, gr, m) + l2 * model.w, np.empty_like(model.v), np.array([g.sum()])]
+    for f in range(model.v.shape[1]):
+        a = model.v[col, f] * value
+        total = np.bincount(row, a, n)
+        out[1][:, f] = np.bincount(col, gr * (total[row] - a), m) + l2 * model.v[:, f]
+    return out
+
+
 def fit(terms: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray, steps: int = 250, rate: float = 0.05, l2: float = 1e-4) -> Model:
     """Full-batch Adam on the logistic loss of four fifths of the rows; the cut has the best F1 on the last fifth."""
     n, m = len(label), len(terms) + 1
@@ -113,14 +127,7 @@ def fit(terms: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray,
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, steps + 1):
         model.bias = float(params[2][0])
-        z = model.raw(row, col, value, n)
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
-        gr = g[row] * value
-        grads = [np.bincount(col, gr, m) + l2 * model.w, np.empty_like(model.v), np.array([g.sum()])]
-        for f in range(FACTORS):
-            a = model.v[col, f] * value
-            total = np.bincount(row, a, n)
-            grads[1][:, f] = np.bincount(col, gr * (total[row] - a), m) + l2 * model.v[:, f]
+        grads = gradient(model, row, col, value, label, weight, l2)
         for p, d, (a, b) in zip(params, grads, moment, strict=True):
             a += 0.1 * (d - a)
             b += 0.001 * (d * d - b)
@@ -137,19 +144,27 @@ def fit(terms: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on the labelled documents. A label other than 0 and 1, and null ids and texts, are left out; of
-    several labels of one document the greatest counts. Without both classes the model gives one constant."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, min_count: int = MIN_COUNT, min_g: float = MIN_G, max_terms: int = MAX_TERMS) -> Model:
+    """Fit on the labelled documents, at most ``max_labelled``: those of the least hash of their id, then the least id.
+
+    Terms that fewer than ``min_count`` of them hold, or whose G statistic is under ``min_g``, have no weight, and of
+    more than ``max_terms`` those of the greatest statistic, then the least number, have one.
+
+    A label other than 0 and 1, and null ids and texts, are left out; of several labels of one document the greatest
+    counts, of several texts the least. Repeated rows count once, an empty text by its length alone, and long ones are
+    taken whole. Without both classes, or with an empty table, the model gives one constant. Other columns are not
+    looked at.
+    """
     sample = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
     sample = sample.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     # the sample has at most max_labelled rows
-    known = cut(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]))
+    known = cut(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = known.select("text", "toxic").mapInArrow(_counts, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 5").toPandas()
+    counts = known.select("text", "toxic").mapInArrow(_counts, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= min_count).toPandas()
     g = _g(counts["toxic"].to_numpy(np.float64), counts["clean"].to_numpy(np.float64), totals.get(1, 0), totals.get(0, 0))
-    order = np.lexsort((counts["term"].to_numpy(), -g))[:MAX_TERMS]
-    terms = np.sort(counts["term"].to_numpy(np.int64)[order[g[order] >= MIN_G]])
+    order = np.lexsort((counts["term"].to_numpy(), -g))[:max_terms]
+    terms = np.sort(counts["term"].to_numpy(np.int64)[order[g[order] >= min_g]])
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,13 +196,15 @@ def _scores(shared):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, toxic) of every row. A null text has null score and verdict; an empty one is scored by its
-    length alone. A null id stays null, repeated rows are scored alike, other columns are not looked at."""
+    length alone, a long one whole; a score equal to the cut is toxic. A null id stays null, repeated rows and texts
+    under one id are each scored, an empty table gives an empty one, and other columns are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scores(shared), OUT)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model doesn't call toxic, all their columns as they were; null texts stay."""
+    """The rows of ``docs`` that the model doesn't call toxic, all their columns as they were; null texts stay, and each
+    of repeated rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = text_col
 

@@ -17,7 +17,7 @@ from lexsieve.llm._spark import cut, maybe_broadcast
 MIN_COUNT, MIN_SHARE = 5, 0.0001
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
-#: Tokens of more than this share of the labelled URLs are left out.
+#: Tokens of more than this share of the labelled URLs are left out; 1 leaves out none.
 MAX_SHARE = 0.9
 BAD, GOOD = "label=bad", "label=good"
 
@@ -53,11 +53,14 @@ def document_number(url: Column) -> Column:
     return F.regexp_extract(url, r"/(\d{1,18})(?:\.[A-Za-z]+)?/?(?:[?#].*)?$", 1).try_cast("long")
 
 
-def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_share: float = MAX_SHARE) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support, lift): sets of tokens whose URLs are bad.
 
-    Rows with a null URL or a null label are left out; every other row is one transaction. Without transactions, or
-    without rules that pass, the result is empty.
+    A token that more than ``max_share`` of the URLs have says nothing, would double the number of frequent sets, and
+    is left out. Rows with a null URL or a null label are left out; every other row, repeated ones too, is one
+    transaction. Empty and long URLs have the tokens they have. Of a rule and a more general one of equal confidence
+    the general one stays. Without transactions, or without rules that pass, the result is empty. Other columns are not
+    looked at.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -67,14 +70,17 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_co
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double, lift double")
-    # a token that nearly all URLs have says nothing, and would double the number of frequent sets
-    usual = F.broadcast(rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > MAX_SHARE * total) & ~F.col("token").isin(BAD, GOOD)).agg(F.collect_list("token").alias("usual")))
+    usual = F.broadcast(rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > max_share * total) & ~F.col("token").isin(BAD, GOOD)).agg(F.collect_list("token").alias("usual")))
     rows = cut(rows.crossJoin(usual).select(F.array_except("items", "usual").alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_count / total, min_share)), minConfidence=min_confidence).fit(rows)
     rules = model.associationRules.where((F.col("consequent")[0] == BAD) & ~F.array_contains("antecedent", GOOD) & (F.col("lift") >= min_lift))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"))
-    general = rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("more"))
-    covered = rules.join(general, (F.size("fewer") < F.size("tokens")) & (F.col("more") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0), "left_semi")
+    # a rule meets the more general ones under their rarest token, one of its own
+    token = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    each = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    rarest = F.array_min(F.collect_list(F.struct("seen", "token")))
+    general = each.join(token, "token").groupBy("tokens", "confidence").agg(rarest.alias("least")).select(F.col("tokens").alias("fewer"), F.col("confidence").alias("more"), F.col("least.token").alias("token"))
+    covered = each.join(general, "token").where((F.size("fewer") < F.size("tokens")) & (F.col("more") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0)).select("tokens").distinct()
     kept = rules.join(covered.select(F.col("tokens").alias("gone")), F.col("tokens") == F.col("gone"), "left_anti")
     return kept.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support", "lift")
 
@@ -82,8 +88,9 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_co
 def match(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, rejected, n_rules, confidence) of every row: whether any rule holds, how many, the greatest confidence.
 
-    A null URL is rejected by none and has no confidence. Rows repeated under one id and URL are judged alike, null
-    ids too; other columns are not looked at.
+    A null URL is rejected by none and has no confidence, nor has an empty one unless a rule holds for it; long ones are
+    matched whole. Rows repeated under one id and URL are judged alike, two URLs under one id each, null ids too. An
+    empty table gives an empty one, and without rules nothing is rejected. Other columns are not looked at.
     """
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
     rules = cut(rules)
@@ -100,7 +107,12 @@ def match(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, bad) of pages whose path ends in the number of a labelled document: bad if of low quality or toxic."""
+    """(url, bad) of pages whose path ends in the number of a labelled document: bad if of low quality or toxic.
+
+    Pages without a number or with a null URL, and labels with a null id or of two nulls, give no row; of several labels
+    of one document the worst counts. A null beside a label that says bad is bad, beside one that doesn't it is left
+    out. Repeated pages stay repeated, and other columns are not looked at.
+    """
     known = labels.select(F.col("doc_id").alias("number"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("number is not null and bad is not null")
     known = known.groupBy("number").agg(F.max("bad").alias("bad"))
     return pages.select("url", document_number(F.col("url")).alias("number")).where("number is not null").join(known, "number").select("url", "bad")

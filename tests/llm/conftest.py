@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 #: Names that operators use inside, so that a clash would show.
 EXTRA = ["part", "hits", "node", "size", "sketch", "gram", "n", "a", "b", "label", "label_id", "toxic", "score", "keep", "spans", "gone", "group_id", "item_id", "url", "row", "found", "v", "id", "hit_id", "wanted_doc", "x"]
 

@@ -32,8 +32,32 @@ def test_recall_of_all_rows_and_of_new_queries(spark, data):
     assert recall(ann.search(graph).collect(), ids, x.astype(float), ids, x.astype(float), True) > 0.9
     q = x[:60] + np.float32(0.1)
     queries = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(q)], "vec_id long, embedding array<float>")
+    found = []
     for limit in (ann.BROADCAST_BYTES, 0):
-        assert recall(ann.search(graph, queries, broadcast_bytes=limit).collect(), ids, x.astype(float), range(60), q.astype(float), False) > 0.9
+        got = ann.search(graph, queries, broadcast_bytes=limit).collect()
+        assert recall(got, ids, x.astype(float), range(60), q.astype(float), False) > 0.9
+        found.append(sorted(map(tuple, got)))
+    assert found[0] == found[1]
+
+
+def test_both_walks_agree_on_ties_and_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (200, 3)).astype(float)  # many equal vectors and equal distances
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    graph = ann.cut(ann.build(df, degree=8, block=16))
+    for queries in (None, df.where("vec_id < 20")):
+        got = [sorted(map(tuple, ann.search(graph, queries, beam=12, k=5, broadcast_bytes=b, only=list(range(40)) if queries is None else None).collect())) for b in (ann.BROADCAST_BYTES, 0)]
+        assert got[0] == got[1] and got[0]
+
+
+def test_a_block_of_equal_vectors_is_cut(spark):
+    rows = [(k, b"\0" * 8, 5 if k < 900 else 6) for k in range(910)]
+    placed = ann._salted(spark.createDataFrame(rows, "id long, vec binary, block int"), 16)
+    sizes = {(r.block, r.salt): r["count"] for r in placed.groupBy("block", "salt").count().collect()}
+    assert sizes.pop((6, 0)) == 10 and sum(sizes.values()) == 900 and len(sizes) == 15 and max(sizes.values()) < 128
+    df = spark.createDataFrame([(k, [1.0, 2.0] if k < 600 else [float(k), 0.0]) for k in range(620)], "vec_id long, embedding array<float>")
+    got = ann.search(ann.build(df, degree=8, block=16), k=3).collect()
+    assert len(got) == 3 * 620 and all(r.distance == 0 for r in got if r.vec_id < 600)
 
 
 def test_odd_rows(spark):

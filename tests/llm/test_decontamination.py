@@ -52,10 +52,26 @@ def test_tiles_equal_brute_force_on_repetitive_words():
         a, b = ([r.choice("abc") for _ in range(r.randint(2, 14))] for _ in range(2))
         h = [X.tokens(pa.array([" ".join(x)]), "word").hash for x in (a, b)]
         pairs = [(i, j) for i in range(len(a) - 1) for j in range(len(b) - 1) if a[i : i + 2] == b[j : j + 2]]
+        assert D.tile_by_length(*h, 2) == D.brute_force_tiles(a, b, 2)
         got = D.tile(h[0], h[1], np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int), 2) if pairs else []
         assert got == D.brute_force_tiles(a, b, 2)
 
 
+def test_repetitive_texts_are_tiled_by_length(spark, monkeypatch, words):
+    """A text of one word over and over against an item of that word, and mixed ones, by either way to tile."""
+    said = words[0]
+    items = [(1, " ".join([said] * 200)), (2, " ".join([said] * 20 + words[:20])), (3, " ".join(words[:30]))]
+    rows = [(1, " ".join([said] * 1_000_000)), (2, " ".join([said] * 30 + words[5:25] + [said] * 9 + words[:8]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda d: {(d, i, round(c, 9), n, m) for d, i, c, n, m in D.leaks(d, bench, min_coverage=0.1).collect()}
+    got = found(docs)
+    assert (1, 1, 1.0, 1, 200) in got
+    small = {x for x in got if x[0] == 2}
+    assert small == brute(rows[1:], items, D.MIN_MATCH, 0.1) and len(small) == 3
+    monkeypatch.setattr(D, "MAX_PAIRS", 0)
+    assert found(docs.where("doc_id = 2")) == small
+
+
 def test_odd_rows(spark, odd, nothing, words):
     text = odd.where("doc_id = 2").first().text
     bench = spark.createDataFrame([(1, text), (1, text), (2, None), (None, text), (3, ""), (4, "one")], "item_id long, text string")

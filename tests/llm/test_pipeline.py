@@ -3,9 +3,13 @@ import random
 import corpus_pipeline
 import pytest
 from lexsieve.llm import decontamination, ngram_jaccard, pii, sentencepiece_codec
+from pyspark.sql import functions as F
 from test_decontamination import brute
 from test_ngram_jaccard import groups
 
+#: Names that the stages give inside.
+INSIDE = ("of", "key", "row_key", "place", "in_group", "no_id", "lang", "source")
+
 
 @pytest.fixture(scope="module")
 def folder(spark, words, tmp_path_factory):
@@ -81,6 +85,21 @@ def test_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_columns_of_clashing_names(spark, odd, words, tmp_path):
+    """Every stage over rows with nulls, long texts, repeats, and columns named as those that the stages use inside."""
+    names = [c for c in odd.columns if c not in ("doc_id", "text")]
+    assert {"gone", "node", "of", "key", "row_key", "place"} <= {*names, *INSIDE}
+    docs = odd.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), *names, *(F.lit("?").alias(c) for c in INSIDE if c not in names))
+    labels = [(k, 0, int(k == 7)) for k in range(12)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words[:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.cut(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == before.columns and docs.schema == before.schema, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 8
+    assert docs.where("text is null").count() == 2
+
+
 def test_two_texts_under_one_id_and_null_ids(spark, words, tmp_path):
     r = random.Random(8)
     a, b, c, clean, item = (" ".join(r.choice(words) for _ in range(60)) for _ in range(5))

@@ -48,6 +48,14 @@ def test_rules_against_brute_force(spark):
     assert judged == {k: (any(c <= x for c in other), sum(c <= x for c in other)) for k, (x, _) in tokens.items()}
 
 
+def test_labelled_pages(spark):
+    pages = spark.createDataFrame([("http://a/1",), ("http://a/1",), ("http://b/x/2.html",), ("http://c/3",), ("http://c/4",), ("http://c/5",), ("http://c/none",), ("",), (None,)], "url string").withColumn("quality", U.F.lit("?"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, None, 1), (4, None, 0), (4, 1, None), (5, 1, 1), (None, 0, 1), (9, 0, 0)], "doc_id long, quality int, toxic int").withColumn("url", U.F.lit("?"))
+    got = sorted(map(tuple, U.labelled_pages(pages, labels).collect()))
+    assert got == [("http://a/1", True), ("http://a/1", True), ("http://b/x/2.html", False), ("http://c/3", True), ("http://c/5", True)]
+    assert U.labelled_pages(pages.where("false"), labels).count() == 0 and U.labelled_pages(pages, labels.where("false")).count() == 0
+
+
 def test_odd_rows(spark, odd, nothing):
     rows = [(1, "http://farm.site.org/win/1", True), (1, "http://farm.site.org/win/1", True), (None, "x", False), (2, None, None), (3, "", False), (4, "http://a/" + "b/" * 50000, False), (5, "not a url at all", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean").withColumn("tokens", U.F.lit(1)).withColumn("n_rules", U.F.lit(2)).withColumn("confidence", U.F.lit(3))
