@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -38,10 +39,17 @@ def effective_threshold(threshold: float | None) -> float | None:
 
 
 class Moderator:
-    """``lexicon``'s flags canonicalise texts as they did its entries. Null texts give null verdicts."""
+    """``lexicon``'s flags canonicalise texts as they did its entries. Null texts give null verdicts.
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.flags = lexicon, lexicon.flags
+    Two extensions, off unless asked for: with ``phrases`` entries of several words match as many words in a row, each of
+    which is a hit; with ``patterns`` lines with signs of regular expressions match a whole word in its normal form
+    (composed, lower case, without signs) as the expressions they are. Both count in ``detect`` and what it decides, and
+    in ``censor``. A line that isn't an expression raises ValueError.
+    """
+
+    def __init__(self, lexicon: Lexicon, phrases: bool = False, patterns: bool = False):
+        self.lexicon, self.flags, self.phrases, self.patterns = lexicon, lexicon.flags, phrases, patterns
+        self._extra: tuple[dict[int, list[str]], str] | None = None
         self._keys: list[str] | None = None
         self._many: list[str] | None = None
 
@@ -50,7 +58,7 @@ class Moderator:
         return list(self.lexicon.languages)
 
     def with_words(self, more: list[str]) -> Moderator:
-        return Moderator(self.lexicon.with_words(more))
+        return Moderator(self.lexicon.with_words(more), self.phrases, self.patterns)
 
     def _inline(self) -> list[str] | None:
         """The keys, if they are few enough to stand in an expression."""
@@ -134,8 +142,46 @@ class Moderator:
 
         return pairs.where("canon is not null").mapInArrow(scored, "canon string, key string, score double")
 
+    def _extensions(self) -> tuple[dict[int, list[str]], str]:
+        """(phrases by their number of words, one expression of all patterns); both empty unless asked for."""
+        if self._extra is None:
+            by_size: dict[int, list[str]] = {}
+            for r in self.lexicon.unreachable().select("canon").distinct().collect() if self.phrases else []:
+                by_size.setdefault(r["canon"].count(" ") + 1, []).append(r["canon"])
+            lines = sorted({r["raw"] for r in self.lexicon.changed().collect()}) if self.patterns else []
+            pattern = self.lexicon.raw.sparkSession._jvm.java.util.regex.Pattern
+            for line in lines:
+                try:
+                    pattern.compile(line)
+                except IllegalArgumentException as e:
+                    raise ValueError(f"not a regular expression: {line}") from e
+            self._extra = by_size, "|".join(f"(?:{x})" for x in lines)
+        return self._extra
+
+    def _flagged(self, df: DataFrame, text: str, threshold: float | None) -> DataFrame:
+        """``df`` with ``__flags``: of each word whether it is a hit, by a key, a phrase or a pattern."""
+        by_size, pattern = self._extensions()
+        is_key = self._in_row(threshold)
+        out = with_canonical(df if is_key is not None else self._with_hits(df, text, threshold), text, "__joined_canon", self.flags)
+        out = out.withColumn("__words", F.split("__joined_canon", JOINT))
+        hit = is_key if is_key is not None else lambda w: F.coalesce(F.array_contains("__hits", w), F.lit(False))
+        out = out.withColumn("__flags", F.transform("__words", hit))
+        either = lambda a, b: a | b
+        for size, keys in sorted(by_size.items()):
+            begins = F.transform("__words", lambda w, i: F.array_join(F.slice("__words", i + 1, size), " ").isin(keys))  # noqa: B023
+            out = out.withColumn("__begins", begins)
+            inside = F.transform("__begins", lambda x, i: F.exists(F.slice("__begins", F.greatest(i - size + 2, F.lit(1)), F.least(i + 1, F.lit(size))), lambda y: y))  # noqa: B023
+            out = out.withColumn("__flags", F.zip_with("__flags", inside, either))
+        if pattern:
+            normal = Flags(transliterate=False, lookalikes=False)
+            out = with_canonical(out, text, "__normal", normal)
+            out = out.withColumn("__flags", F.zip_with("__flags", F.transform(F.split("__normal", JOINT), lambda w: w.rlike(rf"\A(?:{pattern})\z") & (w != "")), either))
+        return out.drop("__words", "__joined_canon", "__normal", "__begins", "__hits")
+
     def detect(self, df: DataFrame, text: str = "text", threshold: float | None = None) -> DataFrame:
         """``df`` with ``found``: whether any word matches."""
+        if self.phrases or self.patterns:
+            return self._flagged(df, text, threshold).withColumn("found", F.when(F.col(text).isNotNull(), F.exists("__flags", lambda x: x))).drop("__flags")
         if self._in_row(threshold) is not None:
             return with_canonical(df, text, "__canon", self.flags).withColumn("found", self._holds_key("__canon")).drop("__canon")
         out = self._with_hits(df, text, threshold)
@@ -146,17 +192,22 @@ class Moderator:
         of the first character of ``mask``; white space stays as it is, and a clean text is itself."""
         if not mask:
             raise ValueError("the mask is empty")
-        is_key = self._in_row(threshold)
-        out = with_canonical(df if is_key is not None else self._with_hits(df, text, threshold), text, "__joined_canon", self.flags)
-        found = self._holds_key("__joined_canon") if is_key is not None else F.coalesce(F.size("__hits") > 0, F.lit(False))
+        hide = lambda w, hit: F.when(hit, F.repeat(F.lit(mask[0]), F.char_length(w))).otherwise(w)
+        if self.phrases or self.patterns:
+            out = self._flagged(df, text, threshold)
+            found, masked = F.exists("__flags", lambda x: x), F.zip_with(words(F.col(text)), "__flags", hide)
+        else:
+            is_key = self._in_row(threshold)
+            out = with_canonical(df if is_key is not None else self._with_hits(df, text, threshold), text, "__joined_canon", self.flags)
+            found = self._holds_key("__joined_canon") if is_key is not None else F.coalesce(F.size("__hits") > 0, F.lit(False))
+            is_hit = is_key if is_key is not None else lambda c: F.array_contains("__hits", c)
+            # zipped, not looked up by index: the optimizer would move a looked-up array's expression into the lambda
+            masked = F.zip_with(words(F.col(text)), F.split("__joined_canon", JOINT), lambda w, c: hide(w, is_hit(c)))
         out = out.withColumn("found", F.when(F.col(text).isNotNull(), found))
-        is_hit = is_key if is_key is not None else lambda c: F.array_contains("__hits", c)
-        # zipped, not looked up by index: the optimizer would move a looked-up array's expression into the lambda
-        masked = F.zip_with(words(F.col(text)), F.split("__joined_canon", JOINT), lambda w, c: F.when(is_hit(c), F.repeat(F.lit(mask[0]), F.char_length(w))).otherwise(w))
         lead = F.regexp_extract(text, f"^{SPACE}*", 0)
         after = F.regexp_extract_all(F.regexp_replace(text, f"^{SPACE}+", ""), F.lit(f"{SPACE}+"), F.lit(0))
         whole = F.concat(lead, F.array_join(F.zip_with(masked, after, lambda w, s: F.concat(w, F.coalesce(s, F.lit("")))), ""))
-        return out.withColumn("censored", F.when(F.col("found"), whole).otherwise(F.col(text))).drop("__joined_canon", "__hits")
+        return out.withColumn("censored", F.when(F.col("found"), whole).otherwise(F.col(text))).drop("__joined_canon", "__hits", "__flags")
 
     def status(self, df: DataFrame, text: str = "text", threshold: float | None = None) -> DataFrame:
         """``df`` with ``status``: BLOCKED or OK."""

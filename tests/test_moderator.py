@@ -82,6 +82,23 @@ def test_no_shuffle_for_verdicts(spark, lex):
         assert "Exchange" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
+def test_phrases_and_patterns_where_asked_for(spark):
+    lists = {"en": "bad word\nword game over\nf[ou]+l\n(no)+pe\nplain"}
+    for flags in (Flags(), Flags(transliterate=False, lookalikes=False)):
+        lexicon = Lexicon.from_mapping(spark, lists, flags)
+        texts = frame(spark, "a bad, WORD here", "bad  word game over plain!", "bad words", "word bad", "fooul! fol ful foolish", "nonope, nope no", "plain", "", None, "bad")
+        m = Moderator(lexicon, phrases=True, patterns=True)
+        got = [(r.found, r.censored) for r in m.censor(texts).orderBy("id").collect()]
+        want = ["a **** **** here", "***  **** **** **** ******", "bad words", "word bad", "****** *** *** foolish", "******* **** no", "*****", "", None, "bad"]
+        assert [c for _, c in got] == want
+        assert [f for f, _ in got] == [True, True, False, False, True, True, True, False, None, False]
+        assert [r.found for r in m.detect(texts).orderBy("id").collect()] == [f for f, _ in got]
+        assert [r.found for r in Moderator(lexicon, phrases=True).detect(texts, threshold=0.93).orderBy("id").collect()] == [True, True, False, False, True, True, True, False, None, False]
+        assert [r.found for r in Moderator(lexicon).detect(texts).orderBy("id").collect()] == [False, True, False, False, False, True, True, False, None, False]
+    with pytest.raises(ValueError, match="not a regular"):
+        Moderator(Lexicon.from_mapping(spark, {"en": "f[oo"}), patterns=True).detect(frame(spark, "x"))
+
+
 def test_hits_and_languages(spark, lex):
     hits = Moderator(lex.with_words(["shit"])).hits(frame(spark, "oh shit, слово"), "id").collect()
     assert {(r.pos, r.token, r.lang, r.raw) for r in hits} == {(1, "shit,", "aa", "shit"), (1, "shit,", "custom", "shit"), (2, "слово", "bb", "слово")}
