@@ -5,7 +5,7 @@ neighbours and some of the nodes it is a neighbour of are introduced to one anot
 joined with the vectors they name, block by block, so a vector travels once to each block that needs it; pairs nearer
 than the worst neighbour either has are sent back and merged. Rounds end when fewer than STOP of all list entries
 change. Where a node is in more lists than it meets in one round, an edge it didn't meet stays fresh and comes first in a
-later one. Queries walk the graph greedily, always expanding the nearest node of a beam not yet expanded, until none
+later one. Queries walk the graph greedily, hop by hop expanding the nearest nodes of a beam not yet expanded, until none
 of the beam is left. Graph and vectors are broadcast for the walk while they are within BROADCAST_BYTES; beyond, the
 same walk is done by joins, one hop of all queries at a time. ``neighbours`` measures recall on a sample of the nodes
 against all vectors, and raises beam and degree until it holds.
@@ -33,6 +33,8 @@ TREES = 2
 ROUNDS, STOP = 10, 0.004
 #: Nodes from which walks of vectors that aren't nodes begin.
 ENTRIES = 64
+#: Nodes of a beam, the nearest open ones, that one hop of a walk goes on from.
+EXPAND = 8
 BROADCAST_BYTES = 256 << 20
 #: Recall that SAMPLE nodes must reach. Beam, then degree grow by GROW while they don't, to at most MOST times what they were.
 TARGET, SAMPLE, GROW, MOST = 0.92, 256, 1.5, 4
@@ -293,17 +295,26 @@ class Graph:
             dist[live] = np.take_along_axis(all_dist, order, 1)
             done[live] = np.take_along_axis(all_done, order, 1)
 
+        def once(new: np.ndarray) -> np.ndarray:
+            """Each row's nodes without repeats."""
+            new = np.sort(new, axis=1)
+            new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
+            return new
+
         live = np.arange(n)
-        take(np.array([np.where(np.concatenate(([True], s[1:] != s[:-1])), s, -1) for s in np.sort(start, axis=1)]), live)
+        take(once(start.astype(np.int64)), live)
         while len(live):
-            ahead = np.where(done[live], np.inf, dist[live])
-            best = ahead.argmin(axis=1)
-            go = np.isfinite(ahead[np.arange(len(live)), best])
-            live, best = live[go], best[go]
+            # the beam is in order, so the first open nodes are the nearest
+            at = np.argsort(done[live], axis=1, kind="stable")[:, :EXPAND]
+            go = ~np.take_along_axis(done[live], at, 1) & np.isfinite(np.take_along_axis(dist[live], at, 1))
+            some = go.any(axis=1)
+            live, at, go = live[some], at[some], go[some]
             if not len(live):
                 break
-            done[live, best] = True
-            take(self.nbr[rows[live, best]].astype(np.int64), live)
+            done[live[:, None], at] |= go
+            new = self.nbr[np.where(go, rows[live[:, None], at], 0)].astype(np.int64)
+            new[~go] = -1
+            take(once(new.reshape(len(live), -1)), live)
         order = np.lexsort((rows, dist), axis=1)[:, :k] if n else np.zeros((0, k), np.int64)
         return np.take_along_axis(rows, order, 1), np.take_along_axis(dist, order, 1)
 
@@ -340,8 +351,7 @@ def _step(beam: int):
             for vec, r, d, o, ids, vecs in zip(*(batch.column(c) for c in ("vec", "rows", "dist", "open", "ids", "vecs")), strict=True):
                 q = np.frombuffer(vec.as_buffer(), np.float32).astype(np.float64)[None]
                 r, d, o = np.frombuffer(r.as_buffer(), np.int64), np.frombuffer(d.as_buffer(), np.float64), np.frombuffer(o.as_buffer(), np.uint8).copy()
-                if len(o) and o.any():
-                    o[int(np.flatnonzero(o)[0])] = 0  # that one was expanded in this hop
+                o[np.flatnonzero(o)[:EXPAND]] = 0  # those were expanded in this hop
                 new = np.array(ids.as_py() or [], np.int64)
                 far = _far(q, _matrix(vecs.values)) if len(new) else np.zeros(0)
                 i, far, o = _top(np.concatenate((r, new)), np.concatenate((d, far)), np.concatenate((o, np.ones(len(new), np.uint8))), beam)
@@ -354,14 +364,13 @@ def _step(beam: int):
 
 
 def _next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, to): the nearest open node of each query's beam."""
+    """(q, to): the nearest open nodes of each query's beam."""
     for batch in batches:
         q, to = [], []
         for own, r, o in zip(batch.column("id").to_pylist(), _rows(batch.column("rows"), np.int64), _rows(batch.column("open"), np.uint8), strict=True):
-            k = np.flatnonzero(o)
-            if len(k):
-                q.append(own)
-                to.append(int(r[k[0]]))
+            k = r[np.flatnonzero(o)[:EXPAND]]
+            q += [own] * len(k)
+            to += k.tolist()
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(to, pa.int64())], names=["q", "to"])
 
 

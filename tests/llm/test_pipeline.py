@@ -90,13 +90,14 @@ def test_columns_of_clashing_names(spark, odd, words, tmp_path):
     names = [c for c in odd.columns if c not in ("doc_id", "text")]
     assert {"gone", "node", "of", "key", "row_key", "place"} <= {*names, *INSIDE}
     docs = odd.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), *names, *(F.lit("?").alias(c) for c in INSIDE if c not in names))
-    labels = [(k, 0, int(k == 7)) for k in range(12)]
+    labels = [(k, 0, 0) for k in range(12)]  # nothing is toxic
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, " ".join(words[:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, corpus_pipeline.cut(stage(spark, docs, str(tmp_path)))
-        assert docs.columns == before.columns and docs.schema == before.schema, name
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 8
+        assert docs.dtypes == before.dtypes, name
+    # of 1, 1, 2 and 11 one row stays
+    assert ids(docs) == ids(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))) == [1, *range(3, 11), None, None]
     assert docs.where("text is null").count() == 2
 
 
