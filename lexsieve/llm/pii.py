@@ -275,9 +275,15 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str
         hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
         return r.choice([hexes(40)] * 4 + [hexes(32), hexes(64), hexes(40).upper(), "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "sk-" + "".join(r.choice("abcdefghijkABCDEFGH0123456789") for _ in range(24)), "ghp_" + "".join(r.choice("abcdefghijkABCDEFGH0123456789") for _ in range(36))])
 
+    def checked(start: str, k: int, right: bool) -> str:
+        """A number of k digits whose check digit is right, or isn't."""
+        body = start + digits(k - 1 - len(start))
+        return body + r.choice([c for c in "0123456789" if _luhn(body + c) == right])
+
     def card() -> str:
-        g = [digits(4) for _ in range(4)]
-        return r.choice(["".join(g)] * 4 + [" ".join(g), "-".join(g), "3" + digits(14)])
+        # a number in groups is taken for a card even if a digit is wrong
+        grouped = r.choice([checked("", 16, True), checked("", 16, True), digits(16)])
+        return r.choice([checked("", 16, True)] * 4 + [r.choice(" -").join(grouped[k : k + 4] for k in range(0, 16, 4))] * 3 + [checked("3", 15, True)])
 
     make = {
         "EMAIL": email,
@@ -292,7 +298,7 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str
         lambda: f"{r.randint(0, 20)}.{r.randint(0, 20)}.", lambda: f"{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: f"{r.randint(1, 9)}.", lambda: digits(r.randint(1, 8)),
         lambda: f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2099)}", lambda: f"{r.randint(0, 23)}:{r.randint(0, 59):02}",
         lambda: f"${digits(3)}.{digits(2)}", lambda: f"{digits(2)}%", lambda: f"@{word()}", lambda: f"{word()}{digits(r.randint(1, 3))}", lambda: f"{r.randint(1900, 2030)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}",
-        lambda: f"{digits(3)}x{digits(3)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{r.randint(300, 999)}.{r.randint(300, 999)}.{digits(3)}.{digits(3)}", lambda: f"{word()}@", lambda: f"{digits(9)}", lambda: f"{digits(10)}", lambda: f"{digits(2)}-{digits(2)}", lambda: f"#{digits(5)}", lambda: f"{digits(22)}",
+        lambda: f"{digits(3)}x{digits(3)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{r.randint(300, 999)}.{r.randint(300, 999)}.{digits(3)}.{digits(3)}", lambda: f"{word()}@", lambda: f"{digits(9)}", lambda: f"{digits(10)}", lambda: f"{digits(2)}-{digits(2)}", lambda: f"#{digits(5)}", lambda: checked("", 16, False), lambda: checked("", r.choice([13, 14, 15, 16, 19]), False), lambda: f"{digits(22)}",
         lambda: r.choice(" -").join(str(r.randint(1900, 2030)) for _ in range(r.randint(2, 6))), lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
     ]
     out = []
