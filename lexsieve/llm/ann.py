@@ -47,6 +47,29 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.where("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x))")
 
 
+def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame | None, int]:
+    """(id, vec) of the vectors of the commonest length, the least of each id, as a table read back; and the length."""
+    v = _clean(vectors, id_col, vector_col)
+    sizes = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if sizes is None:
+        return None, 0
+    dim = int(sizes["n"])
+    v = v.where(F.size("v") == dim)
+    often = cut(v.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("gone")))
+    if not often.isEmpty():
+        # only the ids that repeat are sorted
+        named = maybe_broadcast(often, ID_BYTES)
+        least = v.join(named, F.col("id") == F.col("gone"), "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+        v = v.join(named, F.col("id") == F.col("gone"), "left_anti").unionByName(least)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column("v").flatten(), dtype=np.float32).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "vec"])
+
+    return cut(v.mapInArrow(pack, "id long, vec binary")), dim
+
+
 def _rows(column: pa.Array, dtype: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
@@ -223,19 +246,9 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     it meets in one round; what it doesn't meet stays fresh for the next.
     """
     spark = vectors.sparkSession
-    v = _clean(vectors, id_col, vector_col)
-    sizes = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
+    v, dim = _packed(vectors, id_col, vector_col)
+    if v is None:
         return spark.createDataFrame([], _STATE)
-    dim = int(sizes["n"])
-    v = v.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = np.asarray(batch.column("v").flatten(), dtype=np.float32).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in flat], pa.binary())], names=["id", "vec"])
-
-    v = cut(v.mapInArrow(pack, "id long, vec binary"))
     bits = max(0, int(np.ceil(np.log2(max(1, v.count() / block)))))
     seeds = None
     for tree in range(trees):
