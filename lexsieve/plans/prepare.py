@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexsieve.sources.tables import LABEL, PRESETS, TEXT, Source, read
+from lexsieve.sources.tables import LABEL, PRESETS, TEXT, Source, inline, read
 
 TOXIC_COLUMNS = ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")
 _TEXT_NAMES = ("comment_text", "text", "comment", "sentence", "content")
@@ -35,12 +36,28 @@ def stable_order(text: Column, seed: int = 42) -> list[Column]:
 
 #: The type of a row's place in the order of all sources: a fixed-width number, so that its minimum is hash-aggregated.
 PLACE = "decimal(38,0)"
-_HALF, _SOURCE = 1 << 64, 1 << 66
+_FILE, _HALF, _SOURCE = 1 << 64, 1 << 96, 1 << 98
 
 
 def _place(order: Column, half: Column) -> Column:
-    """The place of a row: first its half, then its number, any long."""
-    return (half.cast(PLACE) * F.lit(str(_HALF)).cast(PLACE) + order.cast("long").cast(PLACE)).cast(PLACE)
+    """The place of a row: first its half, then its number, any long or what ``in_file_order`` gives."""
+    return (half.cast(PLACE) * F.lit(str(_HALF)).cast(PLACE) + order.cast(PLACE)).cast(PLACE)
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows``, as read, with ``__place``: first the file, by path with numbers by value, then the row in it.
+
+    Spark reads the parts of a file in their order, but larger files before smaller ones; so row ids say which row of one
+    file comes first, not which file.
+    """
+    files = sorted(rows.inputFiles(), key=lambda path: [int(x) if k % 2 else x for k, x in enumerate(re.split("([0-9]+)", path))])
+    rows = rows.withColumn("__place", F.monotonically_increasing_id().cast(PLACE))
+    if len(files) < 2:
+        return rows
+    rank = inline(rows.sparkSession, list(enumerate(files)), "__rank int, __path string")
+    rows = rows.withColumn("__file", F.input_file_name()).join(F.broadcast(rank), F.col("__file") == F.col("__path"), "left")
+    place = F.col("__rank").cast(PLACE) * F.lit(str(_FILE)).cast(PLACE) + F.col("__place")
+    return rows.withColumn("__place", place.cast(PLACE)).drop("__file", "__path", "__rank")
 
 
 def from_pairs(df: DataFrame, order: Column) -> DataFrame:
@@ -133,13 +150,13 @@ def union(parts: Sequence[DataFrame]) -> DataFrame:
 def prepare_sources(spark: SparkSession, sources: Mapping[str, Source], min_length: int = 3, max_length: int = 512, skip_failing: bool = False) -> DataFrame:
     """(comment_text, label): named sources read, labelled, cleaned, capped at their max_rows, and united in their order.
 
-    Rows keep the order they have in their files. A source that can't be read or labelled raises; with ``skip_failing``
-    it is left out with a warning, and only if none is left that raises ValueError.
+    Rows keep the order they have in their files, and files that of their paths. A source that can't be read or labelled
+    raises; with ``skip_failing`` it is left out with a warning, and only if none is left that raises ValueError.
     """
     parts = []
     for name, source in sources.items():
         try:
-            rows = read(spark, source).withColumn("__place", F.monotonically_increasing_id())
+            rows = in_file_order(read(spark, source))
             parts.append(prepare(rows, source.labels, F.col("__place"), source.text_col, min_length, max_length, source.max_rows))
         except (ValueError, PySparkException) as e:
             if not skip_failing:

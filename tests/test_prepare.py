@@ -1,4 +1,5 @@
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,8 @@ from lexsieve.functions.canonical import Flags
 from lexsieve.operators.moderator import Moderator
 from lexsieve.plans import prepare as P
 from lexsieve.plans import score as S
+from lexsieve.plans.queries import QUERIES
+from lexsieve.sources.folders import app_dir
 from lexsieve.sources.lexicon import Lexicon
 from lexsieve.sources.tables import PRESETS, Source, read, read_training_csv, write_training_csv
 from lexsieve.streaming.moderate import hit_rate, moderated
@@ -94,6 +97,32 @@ def test_sources_by_name(spark, tmp_path):
         P.prepare_preset(spark, "nothing", "")
 
 
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_files_count_in_the_order_of_their_paths(spark, tmp_path, kind):
+    path = f"{tmp_path}/a 100% é"
+    for k, n in {8: 3, 9: 4000, 10: 300}.items():  # Spark reads the largest file first
+        data = [("same text", k), *[(f"text {k} {i}\nend", k) for i in range(n)], (f"text {k} 0\nend", 99), ("later text", k + 1)]
+        df = spark.createDataFrame(data, "text string, label int").coalesce(1)
+        df.write.option("header", True).option("escape", '"').mode("append").format(kind).save(f"{tmp_path}/{k}")
+        (made,) = (tmp_path / str(k)).glob(f"part-*.{kind}")
+        Path(path).mkdir(exist_ok=True)
+        made.rename(f"{path}/part-{k}.{kind}")
+    got = dict(rows(P.prepare_sources(spark, {"x": Source(path, kind, "label", "text")})))
+    assert got["same text"] == 8 and got["later text"] == 9 and got["text 9 0\nend"] == 9
+    assert len(got) == 2 + 3 + 4000 + 300
+
+
+def test_sources_are_written_and_read_by_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = QUERIES["prep_sources"](spark, "/root/testdata/sf0.001")
+        for name in ("first", "second"):
+            assert len(spark.read.text(f"{app_dir(spark)}/sources/{name}").inputFiles()) > 1
+        assert made.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_split_sample_stats(spark):
     df = spark.createDataFrame([(f"text {k}", k % 2) for k in range(1000)], "comment_text string, label int")
     parts = {r.part: r["count"] for r in P.split(df).groupBy("part").count().collect()}
