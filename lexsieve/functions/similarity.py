@@ -111,6 +111,8 @@ def least_jaro(threshold: float) -> float:
 
 
 _CAP = 32_767
+#: Pairs of a word and a key that are bounded at once, and characters of them that are scored at once.
+CELLS = 1 << 18
 
 
 def _counts(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,13 +134,13 @@ class Matcher:
         """(word, key, similarity) of the pairs above the threshold, by number."""
         j = least_jaro(self.threshold)
         none = np.zeros(0, np.int64)
-        found = [(none, none)]
-        step = max(1, (1 << 20) // max(1, len(self.keys)))
+        found = [(none, none, np.zeros(0))]
+        step = max(1, CELLS // max(1, len(self.keys)))
         for at in range(0, len(words), step):
             size, letters, table = _counts(words[at : at + step])
             if j <= 0:
                 w, k = np.meshgrid(np.arange(len(size)), np.arange(len(self.keys)), indexing="ij")
-                found.append((w.ravel() + at, k.ravel()))
+                found.append(self._scored(words, w.ravel() + at, k.ravel()))
                 continue
             # no more characters match than either has, without those that the other lacks
             a, b = letters[:, None], self.chars[None]
@@ -148,9 +150,12 @@ class Matcher:
             shared = np.minimum(table[w], self.table[k]).sum(axis=1, dtype=np.int64)
             capped = (table[w] == _CAP).any(axis=1) | (self.table[k] == _CAP).any(axis=1)
             keep = capped | may(shared, size[w], self.size[k])
-            found.append((w[keep] + at, k[keep]))
-        w, k = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        score = jaro_winkler_all([words[i] for i in w], [self.keys[i] for i in k])
+            found.append(self._scored(words, w[keep] + at, k[keep]))
+        w, k, score = (np.concatenate([x[i] for x in found]) for i in range(3))
+        return w, k, score
+
+    def _scored(self, words: list[str], w: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = jaro_winkler_all([words[i] for i in w], [self.keys[i] for i in k], CELLS)
         keep = score > self.threshold
         return w[keep], k[keep], score[keep]
 

@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lexsieve.functions.canonical import Flags
 from lexsieve.functions.similarity import jaro_winkler_all, jaro_winkler_of, register
@@ -82,6 +83,18 @@ def test_no_shuffle_for_verdicts(spark, lex):
         assert "Exchange" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
+def test_workers_hold_few_words_at_a_time(spark, monkeypatch):
+    long = [f"word{k}" for k in range(3000)]
+    texts = ["\n".join([*long, "badw0rd", *long, "badword"]), None, "", "badwordy", *long]
+    want = [["badw0rd", "badword"], None, [], ["badwordy"], *[[]] * 3000]
+    monkeypatch.setattr(M, "PIECE_CHARS", 100)
+    monkeypatch.setattr(M, "REMEMBERED", 200)
+    asked, pairs = [], M.Matcher.pairs
+    monkeypatch.setattr(M.Matcher, "pairs", lambda self, words: asked.append(len(words)) or pairs(self, words))
+    (got,) = M._matching(frame(spark, "x"), ["badword"], 0.9).func(iter([pa.array(texts)]))
+    assert got.to_pylist() == want and max(asked) < 50
+
+
 def test_phrases_and_patterns_where_asked_for(spark):
     lists = {"en": "bad word\nword game over\nf[ou]+l\n(no)+pe\nplain"}
     for flags in (Flags(), Flags(transliterate=False, lookalikes=False)):
