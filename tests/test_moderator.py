@@ -95,6 +95,13 @@ def test_workers_hold_few_words_at_a_time(spark, monkeypatch):
     assert got.to_pylist() == want and max(asked) < 50
 
 
+def test_no_python_for_exact_verdicts_and_lexicons(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name in ("detect_exact", "detect_full", "censor_text", "custom_words", "canonical_full", "lexicon_dead_entries", "lexicon_sizes"):
+        made = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Python" not in made and "ExistingRDD" not in made, name
+
+
 def test_phrases_and_patterns_where_asked_for(spark):
     lists = {"en": "bad word\nword game over\nf[ou]+l\n(no)+pe\nplain"}
     for flags in (Flags(), Flags(transliterate=False, lookalikes=False)):
